@@ -116,7 +116,7 @@ ROLES = {
             "d.lang",
             "quality AS label",
             "w AS time_window",
-            "(d.n_chars * f % 97) / 97.0e0 AS score",
+            "(d.n_chars * f % 97) / 203.0e0 AS score",
         ],
         "documents d JOIN labels l ON l.doc_id = d.doc_id "
         "JOIN (SELECT '0.5h' AS w, 1 AS f UNION ALL SELECT '1h', 5 UNION ALL SELECT '2h', 11) x ON x.f > 0",
@@ -169,7 +169,7 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
         *[F.struct(F.lit(w).alias("time_window"), F.lit(f).alias("f")) for w, f in (("0.5h", 1), ("1h", 5), ("2h", 11))]
     )
     return docs.select("doc_id", "lang", F.col("quality").alias("label"), "n_chars", F.inline(windows)).selectExpr(
-        "doc_id", "lang", "label", "time_window", "(n_chars * f % 97) / 97.0D AS score"
+        "doc_id", "lang", "label", "time_window", "(n_chars * f % 97) / 203.0D AS score"
     )
 
 
