@@ -85,7 +85,8 @@ def _(spark, sf):
     "FROM (SELECT time_window, score, sum(label) AS pos, sum(1 - label) AS neg FROM scores GROUP BY 1, 2) "
     "WINDOW w AS (PARTITION BY time_window ORDER BY score DESC)"))
 def _(spark, sf):
-    return evaluation.roc_points(scores(spark, sf), "score", "label", ["time_window"])
+    points = evaluation.roc_points(scores(spark, sf), "score", "label", ["time_window"])
+    return points.drop("tp_total", "fp_total")
 
 
 @query("eligible_groups", sql_with(

@@ -97,16 +97,14 @@ def without(tokens: Column, stop_words) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop)) if stop else tokens
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    def run(_, i):
+        joined = F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)])
+        return F.when(i + n <= F.size(tokens), joined)
+
+    return F.array_compact(F.transform(tokens, run))
+
+
 def ngrams(tokens: Column, longest: int = 3) -> Column:
     """All runs of 1 to ``longest`` tokens joined by a blank."""
-    parts = [tokens]
-    for n in range(2, longest + 1):
-        runs = F.transform(
-            tokens,
-            lambda t, i, n=n: F.when(
-                i + n <= F.size(tokens),
-                F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)]),
-            ),
-        )
-        parts.append(F.filter(runs, lambda t: t.isNotNull()))
-    return F.concat(*parts)
+    return F.concat(tokens, *[_runs(tokens, n) for n in range(2, longest + 1)])

@@ -20,7 +20,7 @@ def score_counts(df: DataFrame, score: str, label: str, groups: list[str]) -> Da
 
 
 def roc_points(df: DataFrame, score: str, label: str, groups: list[str], slots: int | None = None) -> DataFrame:
-    """Per group and distinct score, from the highest down: pos, neg, tp, fp."""
+    """Per group and distinct score, from the highest down: pos, neg, tp, fp, tp_total, fp_total."""
     clean = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     slotted = with_value_slots(clean, [score], ["__slot"], slots)
     counts = score_counts(slotted, score, label, [*groups, "__slot"])
@@ -54,20 +54,14 @@ def ranking_metrics(
     groups = groups or []
     for g in groups:
         df = df.filter(F.col(g).isNotNull())
-    points = roc_points(df, score, label, groups, slots)
-    totals = points.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if groups:
-        match = [F.col(f"__g_{g}") == F.col(g) for g in groups]
-        joined = points.join(totals.withColumnsRenamed({g: f"__g_{g}" for g in groups}), match)
-    else:
-        joined = points.withColumn("P", totals.select("P").scalar()).withColumn("N", totals.select("N").scalar())
+    points = roc_points(df, score, label, groups, slots).withColumnsRenamed({"tp_total": "P", "fp_total": "N"})
     tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
     area = neg * (tp - pos / 2)
     precision = pos * tp / (tp + fp)
     squared = pos * F.pow(F.col("score") - 1, F.lit(2)) + neg * F.pow(F.col("score"), F.lit(2))
     reached = F.when(tp / F.col("P") >= sensitivity, fp)
     return (
-        joined.groupBy(*groups, "P", "N")
+        points.groupBy(*groups, "P", "N")
         .agg(
             F.sum(area).alias("area"),
             F.sum(precision).alias("precision_sum"),
@@ -128,8 +122,8 @@ def risk_coverage(df: DataFrame, score: str, label: str, coverages=COVERAGES, sl
     clean = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     scored = clean.withColumn("__entropy", binary_entropy(F.col(score).cast("double")))
     names = {f"t{i}": c for i, c in enumerate(coverages)}
-    limits = exact_percentiles(scored, ["__entropy"], names, slots)
-    bounds = [limits.select(n).scalar() for n in names]
+    limits = exact_percentiles(scored, ["__entropy"], names, slots).select(F.struct(*names).alias("t")).scalar()
+    bounds = [limits[n] for n in names]
     slotted = with_value_slots(scored, [score], ["__slot"], slots)
     inside = F.array(
         *[F.when(F.col("__entropy") <= b, F.lit(c)) for b, c in zip(bounds, names.values())]
@@ -142,13 +136,10 @@ def risk_coverage(df: DataFrame, score: str, label: str, coverages=COVERAGES, sl
         per_coverage, "__slot", [F.col("score").desc()],
         {"tp": F.col("pos"), "fp": F.col("neg")}, ["coverage"], descending=True,
     )
+    points = points.withColumnsRenamed({"tp_total": "P", "fp_total": "N"})
     return (
-        points.groupBy("coverage")
-        .agg(
-            F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"),
-            F.sum("pos").alias("P"),
-            F.sum("neg").alias("N"),
-        )
+        points.groupBy("coverage", "P", "N")
+        .agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"))
         .select(
             "coverage",
             (1 - F.col("coverage")).alias("deferral"),

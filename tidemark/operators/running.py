@@ -55,7 +55,7 @@ def with_running(
     groups: list[str] | None = None,
     descending: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums in sort order, per group.
+    """Add inclusive running sums in sort order, per group, and group totals as ``<name>_total``.
 
     ``slot`` must follow the first sort key; ``descending`` says that it falls
     along ``order``. ``order`` must be total, else ties share no fixed order.
@@ -68,6 +68,7 @@ def with_running(
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        *[F.sum(f"__t_{n}").over(W.partitionBy(*groups)).alias(f"{n}_total") for n in sums],
     )
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
@@ -80,7 +81,7 @@ def with_running(
 
 def with_rank(df, slot, order, groups=None, name: str = "rank", descending: bool = False) -> DataFrame:
     """Exact row number 1..n per group in sort order."""
-    return with_running(df, slot, order, {name: F.lit(1).cast("long")}, groups, descending)
+    return with_running(df, slot, order, {name: F.lit(1).cast("long")}, groups, descending).drop(f"{name}_total")
 
 
 def hash_ranked(df: DataFrame, seed: int, keys: list[str], groups=None, name: str = "rank") -> DataFrame:
@@ -119,12 +120,10 @@ def exact_percentiles(
     ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counted = long.groupBy("name", "slot", "value").agg(F.count("*").alias("n"))
     placed = with_running(counted, "slot", [F.col("value")], {"upto": F.col("n")}, ["name"])
-    sizes = counted.groupBy(F.col("name").alias("__name")).agg(F.sum("n").alias("__size"))
-    placed = placed.join(sizes, F.col("name") == F.col("__name"))
     aggs, outs = [], []
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     for label, q in points.items():
-        spot = F.lit(float(q)) * (F.col("__size") - 1)
+        spot = F.lit(float(q)) * (F.col("upto_total") - 1)
         low, high = F.floor(spot), F.ceil(spot)
         aggs += [
             F.max(F.when((first <= low) & (low <= last), F.col("value"))).alias(f"__lo_{label}"),

@@ -10,6 +10,7 @@ from tidemark.functions.text import clean_keywords, ngrams, without, words
 from tidemark.functions.vectors import norm
 from tidemark.operators.aggregates import top_k_per_group
 from tidemark.operators.graph import connected_components
+from tidemark.session import cut_lineage
 
 NOISE = -1
 
@@ -143,6 +144,7 @@ def merge_map(
     a topic moves one hop and, where it loses several pairs, the last pair in
     (t1, t2) order decides. Weak topics become noise in both modes.
     """
+    sets = cut_lineage(sets)
     weak = weak_topics(sets, min_words).withColumn("merged_topic", F.lit(NOISE))
     usable = sets.filter(F.size("words") >= min_words)
     if transitive:
@@ -152,7 +154,7 @@ def merge_map(
         same = usable.join(twins, "words").select(F.col("topic").alias("a"), F.col("lead").alias("b"))
         edges = pairs.select(F.col("t1").alias("a"), F.col("t2").alias("b")).union(same)
         roots = connected_components(usable.select(F.col("topic").alias("node")), edges)
-        sized = roots.join(sizes.select(F.col("topic").alias("node"), "n"), "node")
+        sized = cut_lineage(roots.join(sizes.select(F.col("topic").alias("node"), "n"), "node"))
         best = sized.groupBy("root").agg(
             F.max(F.struct(F.col("n"), (-F.col("node")).alias("neg"))).alias("b")
         )
@@ -161,6 +163,7 @@ def merge_map(
         )
     else:
         pairs = jaccard_pairs(usable, threshold, min_words)
+        sizes = cut_lineage(sizes.join(sets.select("topic"), "topic", "left_semi"))
         n1 = sizes.select(F.col("topic").alias("t1"), F.col("n").alias("n1"))
         n2 = sizes.select(F.col("topic").alias("t2"), F.col("n").alias("n2"))
         keep_first = F.col("n1") >= F.col("n2")

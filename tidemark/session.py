@@ -1,9 +1,12 @@
 """Session settings the jobs rely on, and the checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN_FOLDER = "tidemark.checkpoint.dir"
+
 # Adaptive execution splits hot shuffle partitions of joins and turns a join
 # side into a broadcast only when its measured size is below the threshold.
 SETTINGS = {
@@ -32,25 +35,29 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own; on a
     cluster a machine-local folder would be lost with its executor, so there
     the setting is required.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not shared:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-    context.setCheckpointDir(shared)
+        spark.conf.set(OWN_FOLDER, shared)
+    return shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so that later plans start there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Later plans start at the table, survive lost executors, and know its size,
+    so that joins with a small one need no shuffle.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
