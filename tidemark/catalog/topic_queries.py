@@ -14,8 +14,7 @@ WORD_LIST = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 def counts_sql(source: str, topic: str, text: str, key: str, stop, longest: int, min_topics: int, share: float) -> str:
     words = WORD_LIST.format(text)
-    if stop:
-        words = f"list_filter({words}, x -> x NOT IN ({quoted(stop)}))"
+    kept = f"WHERE w NOT IN ({quoted(stop)})" if stop else ""
     runs = " UNION ALL ".join(
         f"SELECT topic, {' || chr(32) || '.join('w' + str(j) for j in range(n))} AS term FROM seq"
         for n in range(1, longest + 1)
@@ -24,7 +23,7 @@ def counts_sql(source: str, topic: str, text: str, key: str, stop, longest: int,
     return f"""
       (WITH tok AS (SELECT {key} AS key, {topic} AS topic, unnest(l) AS w, generate_subscripts(l, 1) AS i
                    FROM (SELECT *, {words} AS l FROM {source})),
-      seq AS (SELECT topic, {leads} FROM tok),
+      seq AS (SELECT topic, {leads} FROM tok {kept}),
       cnt AS (SELECT topic, term, count(*) AS n FROM ({runs}) WHERE term IS NOT NULL GROUP BY 1, 2)
       SELECT * FROM (SELECT topic, term, n, count(*) OVER (PARTITION BY term) AS n_topics,
                             CAST(sum(n) OVER (PARTITION BY term) AS BIGINT) AS n_all FROM cnt)

@@ -97,14 +97,16 @@ def without(tokens: Column, stop_words) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop)) if stop else tokens
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    def run(_, i):
-        joined = F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(n)])
-        return F.when(i + n <= F.size(tokens), joined)
-
-    return F.array_compact(F.transform(tokens, run))
-
-
 def ngrams(tokens: Column, longest: int = 3) -> Column:
-    """All runs of 1 to ``longest`` tokens joined by a blank."""
-    return F.concat(tokens, *[_runs(tokens, n) for n in range(2, longest + 1)])
+    """All runs of 1 to ``longest`` tokens joined by a blank.
+
+    ``tokens`` should be a stored column: the expression names it several times.
+    Runs grow by pairing them with the tokens further on; a run that would pass
+    the end is null there and leaves.
+    """
+    parts, runs = [tokens], tokens
+    for n in range(2, longest + 1):
+        later = F.slice(tokens, n, F.size(tokens))
+        runs = F.zip_with(runs, later, lambda run, t: F.concat(run, F.lit(" "), t))
+        parts.append(F.array_compact(runs))
+    return F.concat(*parts)

@@ -29,8 +29,9 @@ def term_counts(
     gone. Counting per (topic, term) combines before the shuffle; document
     frequency limits count topics.
     """
-    terms = F.explode(ngrams(without(words(F.col(text)), stop), longest)).alias("term")
-    counts = df.select(F.col(topic).alias("topic"), terms).groupBy("topic", "term").agg(F.count("*").alias("n"))
+    tokens = df.select(F.col(topic).alias("topic"), without(words(F.col(text)), stop).alias("tokens"))
+    terms = tokens.select("topic", F.explode(ngrams(F.col("tokens"), longest)).alias("term"))
+    counts = terms.groupBy("topic", "term").agg(F.count("*").alias("n"))
     # a term has at most one row per topic here
     per_term = W.partitionBy("term")
     counts = counts.withColumns(
