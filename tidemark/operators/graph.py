@@ -1,6 +1,6 @@
 """Connected components by iterated joins."""
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
@@ -13,8 +13,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     node take the smallest grand-root among its neighbours, passes it on to the
     node's own root, and shortens its path, which needs about log(n) rounds.
     Minima combine before they shuffle, so a node with very many neighbours is
-    no bottleneck. Each round's labels are written once, and that write counts
-    the changes that decide about another round.
+    no bottleneck. Each round's labels are written once, and the loop only asks
+    whether any of them changed.
     """
     both = cut_lineage(
         edges.select("a", "b").union(edges.select("b", "a")).filter(F.col("a") != F.col("b")).distinct()
@@ -34,10 +34,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             .union(lowest.select("node", "low", none.alias("old")))
             .union(lowest.join(labels, "node").select(F.col("root").alias("node"), "low", none.alias("old")))
         )
-        changes = Observation()
-        moved = offers.groupBy("node").agg(F.min("offer").alias("root"), F.max("old").alias("old"))
-        counted = moved.observe(changes, F.count_if(F.col("root") != F.col("old")).alias("n"))
-        labels = cut_lineage(counted.select("node", "root"))
-        if changes.get["n"] == 0:
+        moved = cut_lineage(offers.groupBy("node").agg(F.min("offer").alias("root"), F.max("old").alias("old")))
+        labels = moved.select("node", "root")
+        if moved.filter(F.col("root") != F.col("old")).isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

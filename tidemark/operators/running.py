@@ -23,6 +23,8 @@ def slot_count(df: DataFrame, slots: int | None = None) -> int:
 def value_edges(df: DataFrame, columns: list[str], slots: int | None = None) -> list[list[float]]:
     """Strictly increasing cut points per column; the driver holds ``slots`` numbers per column."""
     n = slot_count(df, slots)
+    if n < 2:
+        return [[] for _ in columns]
     found = df.approxQuantile(columns, [i / n for i in range(1, n)], 1.0 / (2 * n))
     return [sorted({float(x) for x in edges if math.isfinite(x)}) for edges in found]
 
