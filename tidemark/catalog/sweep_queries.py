@@ -7,6 +7,7 @@ from tidemark.catalog.standins import load, quoted, role, sql_with
 from tidemark.catalog.text_queries import DOC_RULES, DOC_RULES_SQL
 from tidemark.operators import sweep
 from tidemark.operators.clustering import cluster_cells, count_cells, density_clusters
+from tidemark.operators.parallel import spread
 from tidemark.operators.relabel import OTHER
 from tidemark.operators.rules import word_label
 from tidemark.plans import tuning
@@ -56,7 +57,7 @@ LINE_METRICS = {"rows_by_supplier": LINES, "metrics": metrics_sql("rows_by_suppl
 
 
 def note_metrics(spark, sf):
-    docs = load(spark, sf, "documents").withColumn("c", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))))
+    docs = spread(load(spark, sf, "documents")).withColumn("c", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))))
     rows = docs.select(
         F.concat(F.lit("c"), F.col("c").cast("string")).alias("combo_id"),
         (F.col("doc_id") * F.col("c") % 7 - 1).cast("int").alias("topic"),

@@ -10,6 +10,7 @@ from tidemark.catalog.standins import load, role, sql_with
 from tidemark.functions import text as tx
 from tidemark.operators import aggregates
 from tidemark.operators.joins import label_shift
+from tidemark.operators.parallel import spread
 from tidemark.operators.relabel import OTHER, relabel, topic_labels
 from tidemark.operators.rules import substring_label, word_label
 from tidemark.plans import complaints
@@ -114,14 +115,14 @@ def _(spark, sf):
 
 @query("substring_rules", f"SELECT doc_id, {DOC_GROUPS_SQL} AS label FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents")).select(
         "doc_id", substring_label(F.col("text"), DOC_GROUPS, OTHER, fold_case=True).alias("label")
     )
 
 
 @query("regex_override", f"SELECT doc_id, {DOC_RULES_SQL} AS label FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", word_label(F.col("text"), DOC_RULES).alias("label"))
+    return spread(load(spark, sf, "documents")).select("doc_id", word_label(F.col("text"), DOC_RULES).alias("label"))
 
 
 @query("override_vocabularies", f"""
@@ -129,7 +130,7 @@ def _(spark, sf):
            {ladder_sql([(word_sql('t', p), label) for p, label in values.SWEEP_OVERRIDES], OTHER)} AS sweep_label
     FROM (SELECT doc_id AS stay_id, {expand_sql('text')} AS t FROM documents)""")
 def _(spark, sf):
-    docs = load(spark, sf, "documents").select(
+    docs = spread(load(spark, sf, "documents")).select(
         F.col("doc_id").alias("stay_id"), tx.expand_abbreviations(F.col("text"), values.ABBREVIATIONS).alias("t")
     )
     return docs.select(

@@ -10,6 +10,7 @@ from tidemark.functions.text import clean_keywords, ngrams, without, words
 from tidemark.functions.vectors import norm
 from tidemark.operators.aggregates import top_k_per_group
 from tidemark.operators.graph import connected_components
+from tidemark.operators.parallel import spread
 from tidemark.session import cut_lineage
 
 NOISE = -1
@@ -29,19 +30,18 @@ def term_counts(
     gone. Counting per (topic, term) combines before the shuffle; document
     frequency limits count topics.
     """
-    tokens = df.select(F.col(topic).alias("topic"), without(words(F.col(text)), stop).alias("tokens"))
+    rows = spread(df.select(topic, text))
+    tokens = rows.select(F.col(topic).alias("topic"), without(words(F.col(text)), stop).alias("tokens"))
     terms = tokens.select("topic", F.explode(ngrams(F.col("tokens"), longest)).alias("term"))
     counts = terms.groupBy("topic", "term").agg(F.count("*").alias("n"))
     # a term has at most one row per topic here
     per_term = W.partitionBy("term")
-    counts = counts.withColumns(
-        {"n_topics": F.count("*").over(per_term), "n_all": F.sum("n").over(per_term)}
-    )
+    counts = counts.withColumns({"n_topics": F.count("*").over(per_term), "n_all": F.sum("n").over(per_term)})
     if min_topics > 1:
         counts = counts.filter(F.col("n_topics") >= min_topics)
     if max_share < 1.0:
-        topics = df.agg(F.countDistinct(topic).alias("t")).scalar()
-        counts = counts.filter(F.col("n_topics") <= F.lit(max_share) * topics)
+        all_topics = df.agg(F.countDistinct(topic).alias("t")).scalar()
+        counts = counts.filter(F.col("n_topics") <= F.lit(max_share) * all_topics)
     return counts
 
 
@@ -49,12 +49,16 @@ def topic_word_weights(counts: DataFrame) -> DataFrame:
     """Class-based TF-IDF: sqrt(share of the topic's words) * ln(1 + (A - f + .5) / (f + .5)).
 
     f = uses of the term in all topics, A = mean words per topic, truncated.
+    The counts are read twice and therefore stored.
     """
+    counts = cut_lineage(counts)
     sizes = counts.groupBy("topic").agg(F.sum("n").alias("topic_words"))
-    mean = sizes.agg(F.floor(F.sum("topic_words") / F.count("*")).cast("double").alias("a")).scalar()
-    idf = F.log(1 + (mean - F.col("n_all") + 0.5) / (F.col("n_all") + 0.5))
+    # one row per topic
+    mean = F.floor(F.avg("topic_words").over(W.partitionBy())).cast("double")
+    sizes = sizes.withColumn("mean_words", mean)
+    idf = F.log(1 + (F.col("mean_words") - F.col("n_all") + 0.5) / (F.col("n_all") + 0.5))
     weight = F.sqrt(F.col("n") / F.col("topic_words")) * idf
-    return counts.join(sizes, "topic").withColumn("weight", weight)
+    return counts.join(sizes, "topic").withColumn("weight", weight).drop("mean_words")
 
 
 def top_words(weights: DataFrame, k: int) -> DataFrame:

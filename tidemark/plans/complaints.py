@@ -8,6 +8,7 @@ from tidemark import clinical_values as values
 from tidemark.functions.text import clean_deid, default_text, expand_abbreviations, prepare_text
 from tidemark.operators import reports
 from tidemark.operators.clustering import density_clusters, reduce_dimensions, text_vectors
+from tidemark.operators.parallel import spread
 from tidemark.operators.relabel import OTHER
 from tidemark.operators.rules import substring_label
 from tidemark.operators.topics import (
@@ -27,7 +28,7 @@ from tidemark.session import cut_lineage
 
 def expanded(triage: DataFrame, text: str = "chiefcomplaint", pairs=values.ABBREVIATIONS) -> DataFrame:
     """Rows with a text, and its expansion in ``<text>_expanded``."""
-    return triage.filter(F.col(text).isNotNull()).withColumn(
+    return spread(triage.filter(F.col(text).isNotNull())).withColumn(
         f"{text}_expanded", expand_abbreviations(F.col(text), pairs)
     )
 
@@ -57,7 +58,7 @@ def domain_stop_words() -> list[str]:
 def assign_topics(df: DataFrame, text: str, width: float = 1.0, min_samples: int = 10, min_cluster_size: int = 600,
                   dimensions: int = 10, topic: str = "cc_topic") -> DataFrame:
     """Text vectors, reduction and clustering in one step."""
-    vectors = text_vectors(df, text, "__vector")
+    vectors = text_vectors(spread(df), text, "__vector")
     reduced = reduce_dimensions(vectors, "__vector", "__reduced", dimensions).drop("__vector")
     # the rows are read again for cell counts, so the fitted reduction is stored once
     stored = cut_lineage(reduced)
