@@ -10,5 +10,7 @@ def spread(df: DataFrame) -> DataFrame:
     tasks. Large tables have more splits than cores and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df  # a shuffle has dealt the rows out already
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df

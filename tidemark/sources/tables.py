@@ -56,7 +56,7 @@ def typed(raw: DataFrame, schema: str, tokens=NULL_TOKENS) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str, tokens=NULL_TOKENS) -> DataFrame:
     """CSV with a header, read as text by column name and then cast."""
-    header = spark.read.option("header", True).csv(path)
+    header = spark.read.option("header", True).option("escape", '"').csv(path)
     return typed(header, schema, tokens)
 
 
