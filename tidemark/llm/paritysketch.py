@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.meetings import SENT, Meetings, bit_filter, passes
 from tidemark.llm.sent import sent
 from tidemark.llm.words import MASK, ODD, mix, raw, shingle_set, slices
 from tidemark.operators.graph import connected_components
@@ -25,7 +26,6 @@ from tidemark.session import cut_lineage
 
 KEYS_PER_GROUP = 400_000  # slice keys that one task compares at a time
 KEYS_AT_ONCE = 2_000_000  # slice keys that a task holds before it sends them on
-LOCALLY_MANY = 8  # sets of one task with an equal slice, from which the task itself links them
 SKETCH_WORDS = 8  # 64-bit words of the narrow sketch that is compared before two sets are
 FILTER_BITS = 1 << 24
 
@@ -113,51 +113,9 @@ def shingled(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
     return rows.mapInArrow(tell, "id long, n long, class long, sketch array<long>")
 
 
-def _told(keys: np.ndarray, groups: int) -> np.ndarray:
-    """The key by which slices are told apart: number of its group, and low 32 bits."""
-    group = ((keys >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-    return (group << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-
-
-def _sent(keys: np.ndarray, classes: np.ndarray, groups: int):
-    """Rows (group, whole, keys, classes, met) for the tasks that compare keys.
-
-    Of sets that already meet often within this task, one goes to the task of
-    the key, marked as met. The rest need no comparing: they are dealt out by
-    class with their whole keys.
-    """
-    order = np.lexsort((classes, keys))
-    keys, classes = keys[order], classes[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
-    keys, classes = keys[fresh], classes[fresh]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(first, len(keys)))
-    many = np.repeat(count >= LOCALLY_MANY, count)
-    lead = np.zeros(len(keys), bool)
-    lead[first] = True
-    n = np.uint64(groups)
-    for whole, chosen in ((False, ~many | lead), (True, many & ~lead)):
-        if not chosen.any():
-            continue
-        mine, whose, met = keys[chosen], classes[chosen], many[chosen]
-        by = mix(whose.view(np.uint64)) if whole else mine
-        group = (((by >> np.uint64(32)) * n) >> np.uint64(32)).astype(np.int64)
-        if whole:
-            mine = _told(mine, groups)
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=groups))
-        mine, whose, met = mine[order], whose[order], met[order]
-        for g in np.flatnonzero(np.bincount(group, minlength=groups)):
-            at = slice(ends[g - 1] if g else 0, ends[g])
-            kept = mine[at] if whole else mine[at].astype(np.uint32)
-            yield g, whole, kept.tobytes(), whose[at].tobytes(), met[at].tobytes()
-
-
 def members(docs: DataFrame, text: str, k: int, bands: Bands, groups: int) -> DataFrame:
     """(key, class): the slices that at least two classes have in common."""
-    names = ["group", "whole", "keys", "classes", "met"]
-    kinds = pa.schema([("group", pa.int32()), ("whole", pa.bool_()), *((n, pa.binary()) for n in names[2:])])
+    meetings = Meetings(groups, narrow=True)
 
     def send(batches):
         keys, classes, held = [], [], 0
@@ -170,39 +128,17 @@ def members(docs: DataFrame, text: str, k: int, bands: Bands, groups: int) -> Da
                     classes.append(np.full(len(own), _class(shingles) or 0, np.int64))
                     held += len(own)
                     if held >= KEYS_AT_ONCE:
-                        yield from packed(keys, classes)
+                        yield from meetings.send(np.concatenate(keys), np.concatenate(classes))
                         keys, classes, held = [], [], 0
         if held:
-            yield from packed(keys, classes)
-
-    def packed(keys, classes):
-        rows = list(_sent(np.concatenate(keys), np.concatenate(classes), groups))
-        for start in range(0, len(rows), 200):
-            columns = zip(*rows[start : start + 200])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], names)
+            yield from meetings.send(np.concatenate(keys), np.concatenate(classes))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, cls, met = [], [], []
-        for g, whole, kept, whose, known in zip(*(table.column(n).to_pylist() for n in names)):
-            own = np.frombuffer(kept, np.uint64 if whole else np.uint32).astype(np.uint64)
-            key.append(own if whole else own | (np.uint64(g) << np.uint64(32)))
-            cls.append(np.frombuffer(whose, np.int64))
-            met.append(np.frombuffer(known, bool))
-        key, cls, met = np.concatenate(key), np.concatenate(cls), np.concatenate(met)
-        order = np.lexsort((cls, key))
-        key, cls, met = key[order], cls[order], met[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[True], cls[1:] != cls[:-1]])
-        run = np.cumsum(new_key) - 1
-        many = np.bincount(run, weights=new) >= 2
-        many |= np.bincount(run, weights=met) > 0
-        chosen = new & many[run]
-        return pa.table({"key": pa.array(key[chosen].view(np.int64)), "class": pa.array(cls[chosen])})
-
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(
-        send, "group int, whole boolean, keys binary, classes binary, met binary"
-    )
-    return sent.groupBy("group").applyInArrow(compare, "key long, class long")
+        key, cls = meetings.compare(table)
+        return pa.table({"key": pa.array(key.view(np.int64)), "class": pa.array(cls)})
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(send, SENT)
+    return rows.groupBy("group").applyInArrow(compare, "key long, class long")
 
 
 def _sets(docs: DataFrame, id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -212,31 +148,19 @@ def _sets(docs: DataFrame, id: str, text: str, k: int, wanted: DataFrame) -> Dat
     the filter keeps every wanted row and the join drops the others. Repeated
     rows are one.
     """
-    spark = docs.sparkSession
     spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    marks = (
-        wanted.select(spot.alias("spot"))
-        .groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    )
-    bits = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for bucket, part in marks.collect():  # at most FILTER_BITS bits
-        bits[bucket, : len(part)] = np.frombuffer(part, np.uint8)
-    shared = sent(spark, bits)
+    table = sent(docs.sparkSession, bit_filter(wanted, [spot], FILTER_BITS))
 
     def cut(batches):
-        table = shared()
+        bits = table()
         for batch in batches:
-            at, where = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("bucket", "bit"))
-            passed = (table[at, where >> 3] >> (where & 7)) & 1
-            batch = batch.filter(pa.array(passed.astype(bool)))
+            batch = batch.filter(pa.array(passes(bits, batch.column("spot").to_numpy(zero_copy_only=False))))
             for part in slices(batch) if batch.num_rows else ():
                 sets = [shingle_set(t, k) for t in raw(part.column("text"))]
                 columns = [part.column("id"), pa.array(map(_class, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "class", "shingles"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("spot", spot)
-    rows = rows.select("id", "text", F.bitmap_bucket_number("spot").alias("bucket"), F.bitmap_bit_position("spot").alias("bit"))
     found = rows.mapInArrow(cut, "id long, class long, shingles binary").alias("f")
     asked = wanted.alias("w")
     found = found.join(asked, (F.col("f.class") == F.col("w.class")) & F.col("f.id").eqNullSafe(F.col("w.id")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontam import find_leaks
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.paritysketch import jaccard_components
+from tidemark.llm.phrases import remove_repeats
 from tidemark.llm.pieces import encode_texts
 from tidemark.llm.toxicity import score_toxicity
 
@@ -101,3 +102,31 @@ def op4_decontamination(spark, folder):
 def op7_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score_toxicity(docs, table(spark, folder, "labels")).drop("text")
+
+
+@query(
+    "op9_repeated_phrases",
+    rf"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+    ), windows AS (
+      SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM words)
+    ), marked AS (
+      SELECT doc_id, s, count(*) OVER (PARTITION BY h) > 1 AS again FROM windows
+    ), gone AS (
+      SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS pos FROM marked WHERE again
+    ), kept AS (
+      SELECT x.doc_id, x.pos, x.word, g.pos IS NOT NULL AS dropped
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words) x
+      LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.pos = x.pos
+    )
+    SELECT d.doc_id, count(k.word) AS n_words, CAST(coalesce(sum(k.dropped::INT), 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.pos) FILTER (WHERE NOT k.dropped), '')) AS kept_sha256
+    FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
+)
+def op9_repeated_phrases(spark, folder):
+    cleaned = remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end_word"] - r["begin_word"])
+    return cleaned.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -24,8 +24,8 @@ WIDTH, HIDDEN = 8, 8
 KNOWN = 5  # training texts that a word must be in to have an embedding of its own
 LENGTH, STRIDE = 24, 18  # words of a window, and from one window to the next
 EDGES = b".,;:!?\"'()[]{}<>|%&$#*-_/"
-REMEMBERED = 100_000  # words whose inputs a task remembers
-AT_ONCE = 4096  # windows
+REMEMBERED = 150_000  # words whose inputs a task remembers
+AT_ONCE = 2048  # windows
 
 
 @dataclass
@@ -46,12 +46,12 @@ def vocabulary(words: list[bytes]) -> Vocabulary:
     data = np.frombuffer(marked, np.uint8).astype(np.int64)
     counts = np.fromiter(map(len, plain), np.int64, len(plain))  # trigrams of the word with both marks
     ends = np.cumsum(counts + 2)
-    codes = (data[:-2] * 65_599 + data[1:-1] * 257 + data[2:]) * 0x9E3779B1 >> 7 if len(data) > 2 else data[:0]
+    codes = ((data[:-2] * 65_599 + data[1:-1] * 257 + data[2:]) * 0x9E3779B1 >> 7) % GRAMS if len(data) > 2 else data[:0]
     inside = np.ones(len(codes), bool)
     for back in (2, 1):  # trigrams that would reach into the next word
         at = ends - back
         inside[at[(at >= 0) & (at < len(codes))]] = False
-    grams = codes[inside] % GRAMS
+    grams = codes[inside].astype(np.int16)
     starts = np.cumsum(counts) - counts
     heads = np.where(counts > 0, np.append(grams, 0)[np.minimum(starts, len(grams))], 0)
     return Vocabulary(rows, grams, starts, counts, heads)
@@ -226,11 +226,10 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 4,
     texts these and a random one."""
     rng = np.random.default_rng(seed)
     labels = np.array(labels, np.int64)
-    split = [t.split() for t in texts]
-    words = sorted({w for t in split for w in t}) or [b""]
-    number = {w: i for i, w in enumerate(words)}
-    rows = [np.array([number[w] for w in t], np.int64) for t in split]
-    v = vocabulary(words)
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
+    v = vocabulary(list(number) or [b""])
+    del number, texts
     draw = lambda *shape, scale=0.3: rng.normal(0, scale, shape).astype(np.float32)
     net = {
         "words": np.zeros((WORDS, WIDTH), np.float32), "grams": draw(GRAMS, WIDTH, scale=0.1), "heads": draw(GRAMS, WIDTH, scale=0.3),
@@ -285,8 +284,11 @@ def _calibrate(value: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 def _parts(net: dict, v: Vocabulary) -> np.ndarray:
     """Input part of both passes for every word, and zeros for no word."""
-    x = inputs(net, v, np.arange(len(v.rows)))
-    return np.concatenate([x @ net["in"] + net["in_bias"], np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
+    out = np.zeros((len(v.rows) + 1, 6 * HIDDEN), np.float32)
+    for start in range(0, len(v.rows), 50_000):
+        chosen = np.arange(start, min(start + 50_000, len(v.rows)))
+        out[chosen] = inputs(net, v, chosen) @ net["in"] + net["in_bias"]
+    return out
 
 
 class Scorer:
@@ -333,7 +335,7 @@ def score_toxicity(
     id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    sample: int = 6000,
+    sample: int = 5000,
     sample_chars: int = 50_000,
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5) in place of equally named columns.
