@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chat import as_events, fold_events, read_back, render
 from tidemark.llm.decontam import find_leaks
+from tidemark.llm.langid import declared_language, identify, page_text
 from tidemark.llm.linededup import dedup_lines
+from tidemark.llm.outliers import quality_rules
 from tidemark.llm.paritysketch import jaccard_components
 from tidemark.llm.phrases import remove_repeats
 from tidemark.llm.pieces import encode_texts
@@ -181,3 +183,21 @@ def op10_chat_format(spark, folder):
     probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return read_back(render(fold_events(as_events(turns))))
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark, folder):
+    return quality_rules(table(spark, folder, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, folder):
+    pages, docs = table(spark, folder, "pages"), table(spark, folder, "documents")
+    none = F.lit(None).cast("string")
+    rows = pages.select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", page_text(F.col("html")).alias("text"),
+        declared_language(F.col("html")).alias("declared"), "url", none.alias("host"),
+    )
+    # documents have no address; where they come from stands for the host
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("url"), F.col("source").alias("host"))
+    return identify(rows.unionByName(own), docs)
