@@ -10,7 +10,6 @@ one. A slice is kept as the 64-bit XOR of the shingles in it.
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ KEYS_PER_GROUP = 400_000  # slice keys that one task compares at a time
 KEYS_AT_ONCE = 2_000_000  # slice keys that a task holds before it sends them on
 SKETCH_WORDS = 8  # 64-bit words of the narrow sketch that is compared before two sets are
 FILTER_BITS = 1 << 24
+DRAWS = 2  # rounds that join what is easily joined, before all other pairs are compared
 
 
 @dataclass(frozen=True)
@@ -186,11 +186,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(weigh, "a long, b long")
 
 
+def _apart():
+    """Bits in which two narrow sketches differ: at most as many as there are shingles in one set only."""
+    return F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _possible(num: int, den: int):
     """Whether sizes and narrow sketches leave room for the threshold."""
     total = F.col("n") + F.col("n2")
-    apart = F.aggregate(F.zip_with("sketch", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (apart * (den + num) <= total * (den - num))
+    return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (_apart() * (den + num) <= total * (den - num))
 
 
 def jaccard_components(
@@ -219,38 +223,42 @@ def jaccard_components(
     groups = int(total * 2.5 * (den - num) / (den + num)) // KEYS_PER_GROUP + 1
     met = cut_lineage(members(docs, text, k, bands, groups))
     nodes = cut_lineage(classes.join(met.select("class").distinct(), "class"))
-    sets = cut_lineage(_sets(docs, id, text, k, nodes.select("id", "class")))
+
+    def verified(pairs):
+        """Only the sets that some pair needs are made again from their texts, and moved."""
+        pairs = cut_lineage(pairs)
+        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        sets = _sets(docs, id, text, k, cut_lineage(wanted.join(nodes, "class").select("id", "class")))
+        return cut_lineage(_verified(pairs, cut_lineage(sets), num, den))
 
     sizes = nodes.select("class", "n", "sketch")
-    own = sizes.select(F.col("class").alias("a"), "n", "sketch")
+    own = sizes.withColumnRenamed("class", "a")
     other = sizes.select(F.col("class").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-    able = lambda pairs: pairs.join(own, "a").join(other, "b").filter(_possible(num, den)).select("a", "b")
+    able = lambda pairs: pairs.join(own, "a").join(other, "b").filter(_possible(num, den))
 
     # each class with the smallest one that it meets anywhere
     least = met.groupBy("key").agg(F.min("class").alias("b"))
     best = met.join(least, "key").groupBy(F.col("class").alias("a")).agg(F.min("b").alias("b")).filter("a <> b")
-    links = [cut_lineage(_verified(able(best), sets, num, den))]
-    # each class with the smallest one of every slice that it isn't linked to yet
-    known = cut_lineage(_labelled(met, links))
-    star = known.join(known.groupBy("key").agg(F.min(F.struct("class", "root")).alias("least")), "key")
-    star = star.filter("root <> least.root").select(F.col("class").alias("a"), F.col("least.class").alias("b")).distinct()
-    links.append(cut_lineage(_verified(able(star), sets, num, den)))
+    links = verified(able(best).select("a", "b"))
+    # in slices that hold several components, each class with the nearest of the random ones that slices put forward
+    for turn in range(DRAWS):
+        known = _labelled(met, _roots(links))
+        drawn = F.min(F.struct(F.xxhash64("key", "class", F.lit(turn)).alias("draw"), "class", "root")).alias("drawn")
+        drawn = known.groupBy("key").agg(drawn, F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        near = known.join(drawn, "key").filter("root <> drawn.root").select(F.col("class").alias("a"), F.col("drawn.class").alias("b"))
+        near = able(near.distinct()).groupBy("a").agg(F.min(F.struct(_apart().alias("apart"), "b")).alias("near"))
+        links = cut_lineage(links.union(verified(near.select("a", "near.b"))))
     # in slices that still hold several components: all that are outside the first one's, with all others
-    known = cut_lineage(_labelled(met, links))
+    known = _labelled(met, _roots(links))
     ends = known.groupBy("key").agg(F.min(F.struct("class", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = cut_lineage(
-        known.join(ends.filter("low <> high"), "key")
-        .select("key", "class", "root", (F.col("root") == F.col("least.root")).alias("main"))
-        .join(sizes, "class")
-    )
+    mixed = known.join(ends.filter("low <> high"), "key")
+    mixed = mixed.select("key", "class", "root", (F.col("root") == F.col("least.root")).alias("main"))
+    mixed = cut_lineage(mixed.join(sizes, "class"))
     right = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "sketch", "main")))
     rest = mixed.filter("not main").join(right, "key").filter("root <> root2 and (main2 or class < class2)").filter(_possible(num, den))
-    rest = rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
-    links.append(cut_lineage(_verified(rest, sets, num, den)))
+    links = links.union(verified(rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()))
 
-    edges = reduce(DataFrame.union, links)
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    roots = connected_components(ends, edges).withColumnRenamed("node", "class")
+    roots = _roots(links)
     named = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(lowest, "root").select("class", "component_id")
@@ -261,10 +269,13 @@ def jaccard_components(
     )
 
 
-def _labelled(met: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """(key, class, root): equal roots are in one component; two steps up the links, not all."""
-    edges = reduce(DataFrame.union, links)
-    up = edges.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("up"))
-    top = up.select(F.col("class").alias("up"), F.col("up").alias("top"))
-    up = up.join(top, "up", "left").select("class", F.coalesce("top", "up").alias("root"))
-    return met.join(up, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+def _roots(links: DataFrame) -> DataFrame:
+    """(class, root): smallest class of the component, for all classes that have links."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    return connected_components(ends, links).withColumnRenamed("node", "class")
+
+
+def _labelled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, class, root); a class without links is its own root."""
+    rows = met.join(roots, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    return cut_lineage(rows)
