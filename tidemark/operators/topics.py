@@ -1,7 +1,5 @@
 """Topic words, duplicate topics, oversized topics and topic quality."""
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,20 +91,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def _prefix_length(size: int, threshold: float, min_words: int) -> int:
+def _prefix_length(size: Column, threshold: float, min_words: int) -> Column:
     """Words that must be looked up so that no partner can be missed.
 
     Two sets of sizes n and m reach the threshold only with an overlap of
     t / (1 + t) * (n + m); the smallest possible partner gives the smallest
     overlap o, and then the n - o + 1 rarest words hold a common one.
     """
-    partner = max(min_words, math.ceil(threshold * size - 1e-9))
-    overlap = max(1, math.ceil(threshold / (1 + threshold) * (size + partner) - 1e-9))
-    return max(size - overlap + 1, 1)
+    partner = F.greatest(F.lit(min_words), F.ceil(threshold * size - 1e-9))
+    overlap = F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (size + partner) - 1e-9))
+    return F.greatest(size - overlap + 1, F.lit(1))
 
 
 def jaccard_pairs(
-    sets: DataFrame, threshold: float = 0.5, min_words: int = 2, largest: int = 5, id_col: str = "topic"
+    sets: DataFrame, threshold: float = 0.5, min_words: int = 2, id_col: str = "topic"
 ) -> DataFrame:
     """t1 < t2 and their Jaccard similarity where it reaches the threshold.
 
@@ -116,10 +114,7 @@ def jaccard_pairs(
     usable = sets.filter(F.size("words") >= min_words)
     long = usable.select(F.col(id_col).alias("t"), "words", F.explode("words").alias("word"))
     frequency = long.groupBy("word").agg(F.count("*").alias("f"))
-    size = F.size("words")
-    prefix = F.lit(largest)
-    for n in range(largest, min_words - 1, -1):
-        prefix = F.when(size == n, _prefix_length(n, threshold, min_words)).otherwise(prefix)
+    prefix = _prefix_length(F.size("words"), threshold, min_words)
     order = W.partitionBy("t").orderBy("f", "word")
     rare = (
         long.join(frequency, "word")
