@@ -69,3 +69,10 @@ def test_sweep_stops_and_resumes(spark, tmp_path):
     more = tuning.sweep_until(df, "at", "t", 1.0, out, stop_at=0, sizes=[5, 400], samples=[2, 4], phrases=["fever"])
     assert more.count() == 4
     assert sweep.first_reaching(more, 30.0).first().combo_id == "mcs5_ms2"
+
+
+def test_line_end_in_a_field(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('itemid,label\n1,"two\nlines"\n2,ok\n')
+    got = tables.read_csv(spark, str(path), tables.SCHEMAS["d_labitems"], multi_line=True).collect()
+    assert sorted((r.itemid, r.label) for r in got) == [(1, "two\nlines"), (2, "ok")]

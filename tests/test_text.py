@@ -10,7 +10,8 @@ from tidemark.operators.graph import connected_components
 from tidemark.operators.relabel import relabel
 from tidemark.operators.rules import substring_label, word_label
 from tidemark.operators.sweep import combination_metrics, composite_score, topic_stats
-from tidemark.operators.topics import heterogeneity, jaccard_pairs, merge_map, stop_words
+from tidemark.operators.topics import heterogeneity, jaccard_pairs, merge_map, stop_words, topic_keywords
+from tidemark.plans.complaints import label_topics
 
 
 def texts(spark, *rows):
@@ -148,3 +149,16 @@ def test_score_penalties(spark):
     df = spark.createDataFrame([tuple({**base, **c}.values()) for c, _ in cases],
                                "n_critical_missing long, noise_ratio double, other_ratio double, n_topics long, size_cv double")
     assert [r.s for r in df.select(composite_score().alias("s")).collect()] == [s for _, s in cases]
+
+
+def test_topics_whose_words_all_fall_to_the_limits(spark):
+    rows = [(i, 0, "fever cough") for i in range(4)] + [(i, 1, "ankle twist") for i in range(4, 7)] + [(7, 2, "rash")]
+    df = spark.createDataFrame(rows, "id int, cc_topic int, text string")
+    vectors = spark.createDataFrame([("ankle", [1.0, 0.0]), ("twist", [0.0, 1.0]), ("fever", [1.0, 0.0])], "word string, vector array<double>")
+    got, top = label_topics(df, "text", stop=["rash"], min_topics=1, max_share=0.9, vectors=vectors)
+    by_id = {r.id: (r.cc_topic, r.cc_keywords, r.cc_heterogeneity) for r in got.collect()}
+    assert by_id[7] == (-1, "Noise/Outlier", None)
+    assert by_id[0][0] == 0 and "fever" in by_id[0][1] and by_id[0][2] == 0.0
+    assert by_id[5][0] == 1 and by_id[5][2] == 1.0
+    listed = topic_keywords(top, topics=df.select(F.col("cc_topic").alias("topic")))
+    assert {r.topic: r.keywords for r in listed.collect()}[2] == "general"

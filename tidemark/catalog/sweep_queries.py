@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import clinical_values as values
 from tidemark.catalog.registry import query
 from tidemark.catalog.standins import load, quoted, role, sql_with
 from tidemark.catalog.text_queries import DOC_RULES, DOC_RULES_SQL
@@ -150,7 +151,9 @@ def _(spark, sf):
 
 
 # customers as points: nation and balance
-POINT_SIZES, POINT_SAMPLES = [4, 10, 25, 60, 200], [2, 3, 4, 6]
+POINT_SAMPLES = [2, 3, 4, 6]
+# the operator's own grid, and smaller settings for the few customers of a test
+GRID_SIZES, GRID_SAMPLES = sorted({4, 10, 25, *values.SWEEP_SIZES}), sorted({2, 4, 6, *values.SWEEP_SAMPLES})
 POINT_PHRASES, POINT_RULES = ["BUILD", "MACHINERY", "H"], [("BUILDING", "b"), ("FURNITURE", "f"), ("HOUSEHOLD", "h")]
 CELLS_SQL = "SELECT c_custkey, c_mktsegment, CAST(floor(c_nationkey / 1.0e0) AS BIGINT) AS x, CAST(floor(c_acctbal / 400 / 1.0e0) AS BIGINT) AS y FROM customer"
 COUNTS_SQL = "SELECT s.m, x, y, x || ',' || y AS cell, count(*) AS size FROM points, s GROUP BY ALL"
@@ -190,7 +193,8 @@ def _(spark, sf):
             CAST(regexp_extract(combo_id, 'ms([0-9]+)$', 1) AS INT) AS min_samples FROM metrics""",
     {
         **CLUSTERS,
-        "z": "SELECT * FROM (VALUES " + ", ".join(f"({m})" for m in POINT_SIZES) + ") v(z)",
+        "s": "SELECT * FROM (VALUES " + ", ".join(f"({m})" for m in GRID_SAMPLES) + ") v(m)",
+        "z": "SELECT * FROM (VALUES " + ", ".join(f"({m})" for m in GRID_SIZES) + ") v(z)",
         "big": "SELECT m, cluster, sum(size) AS total FROM named WHERE cluster IS NOT NULL GROUP BY 1, 2",
         "placed": f"""SELECT 'mcs' || z || '_ms' || n.m AS combo_id, CASE WHEN total >= z THEN hash(n.cluster) // 16 ELSE -1 END AS topic,
                       CASE WHEN c_mktsegment = 'BUILDING' THEN 'b' WHEN c_mktsegment = 'FURNITURE' THEN 'f' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'h' ELSE '{OTHER}' END AS label,
@@ -199,6 +203,6 @@ def _(spark, sf):
     }))
 def _(spark, sf):
     found = tuning.sweep_metrics(
-        points(spark, sf), "at", "c_mktsegment", 1.0, POINT_SIZES, POINT_SAMPLES, POINT_RULES, POINT_PHRASES, MIN_HITS
+        points(spark, sf), "at", "c_mktsegment", 1.0, GRID_SIZES, GRID_SAMPLES, POINT_RULES, POINT_PHRASES, MIN_HITS
     )
     return found.drop("grid_order")

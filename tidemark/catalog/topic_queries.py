@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query
 from tidemark.catalog.standins import load, quoted, role, sql_with
 from tidemark.catalog.text_queries import deid_sql
+from tidemark.functions.text import words
 from tidemark.functions.vectors import cosine
 from tidemark.operators import reports, topics
 
@@ -140,6 +141,22 @@ def _(spark, sf):
     return topics.heterogeneity(vectors, "topic", "embedding")
 
 
+# every word of a part name has a vector but those that begin with b
+@query("word_heterogeneity", sql_with(
+    [], """SELECT t.topic, count(e) AS n, coalesce(any_value(p.h), 0.0) AS heterogeneity FROM v t LEFT JOIN p ON p.topic = t.topic GROUP BY 1""",
+    {**PARTS,
+     "v": """SELECT DISTINCT topic, term, CASE WHEN term NOT LIKE 'b%' THEN
+             [CAST(length(term) AS DOUBLE), ascii(substr(term, 1, 1)) - 110.0, ascii(substr(term, 3, 1)) - 105.0] END AS e FROM top""",
+     "p": """SELECT a.topic, round(1 - avg(list_cosine_similarity(a.e, b.e)), 4) AS h
+             FROM v a JOIN v b ON a.topic = b.topic AND a.term <> b.term WHERE a.e IS NOT NULL AND b.e IS NOT NULL GROUP BY 1"""}))
+def _(spark, sf):
+    names = load(spark, sf, "part").select(F.explode(words(F.col("p_name"))).alias("word")).distinct()
+    vector = F.array(
+        F.length("word").cast("double"), F.ascii(F.substring("word", 1, 1)) - F.lit(110.0), F.ascii(F.substring("word", 3, 1)) - F.lit(105.0)
+    )
+    return topics.word_heterogeneity(part_top(spark, sf), names.filter(~F.col("word").startswith("b")).select("word", vector.alias("vector")))
+
+
 @query("cosine", """
     SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the component.
 
     ``nodes``: node. ``edges``: a, b (either direction). Every round lets a
@@ -20,7 +20,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         edges.select("a", "b").union(edges.select("b", "a")).filter(F.col("a") != F.col("b")).distinct()
     )
     labels = cut_lineage(nodes.select("node").distinct().withColumn("root", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         above = labels.select(F.col("node").alias("root"), F.col("root").alias("grand"))
         seen = labels.join(above, "root").select("node", "root", "grand")
         lowest = (
@@ -38,4 +38,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         labels = moved.select("node", "root")
         if moved.filter(F.col("root") != F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -66,20 +66,30 @@ def top_words(weights: DataFrame, k: int) -> DataFrame:
     )
 
 
-def topic_keywords(top: DataFrame, k: int = 10) -> DataFrame:
-    """One cleaned ", "-joined keyword string per topic; noise has a fixed name."""
+def topic_keywords(top: DataFrame, k: int = 10, topics: DataFrame | None = None) -> DataFrame:
+    """One cleaned ", "-joined keyword string per topic; noise has a fixed name.
+
+    ``topics`` (topic) names all topics; those without a word get the keyword of an empty list.
+    """
     listed = top.filter(F.col("rank") <= k).groupBy("topic").agg(
         F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("l")
     )
-    joined = F.array_join(F.transform("l", lambda s: s["term"]), ", ")
+    if topics is not None:
+        listed = topics.select("topic").distinct().join(listed, "topic", "left")
+    joined = F.coalesce(F.array_join(F.transform("l", lambda s: s["term"]), ", "), F.lit(""))
     keywords = F.when(F.col("topic") == NOISE, F.lit("Noise/Outlier")).otherwise(clean_keywords(joined))
     return listed.select("topic", keywords.alias("keywords"))
 
 
-def topic_word_sets(top: DataFrame, k: int = 5, min_length: int = 2) -> DataFrame:
-    """topic, words: the distinct stripped top-k words of two or more characters."""
+def topic_word_sets(top: DataFrame, k: int = 5, min_length: int = 2, topics: DataFrame | None = None) -> DataFrame:
+    """topic, words: the distinct stripped top-k words of two or more characters.
+
+    ``topics`` (topic) names all topics; those without a word get an empty set.
+    """
     word = F.trim("term")
     valid = F.when((F.col("rank") <= k) & (F.length(word) >= min_length), word)
+    if topics is not None:
+        top = topics.select("topic").distinct().join(top, "topic", "left")
     return (
         top.filter(F.col("topic") != NOISE)
         .groupBy("topic")
@@ -245,6 +255,21 @@ def heterogeneity(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
     )
 
 
+def word_heterogeneity(top: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """topic, n, heterogeneity: 1 - mean pairwise cosine of the vectors of a topic's distinct top-k words.
+
+    ``vectors``: word, vector, one row per word. ``n`` counts the words that
+    have a vector; words without one are left out, and a topic with fewer than
+    two of them scores 0.0. Noise has no score.
+    """
+    used = top.filter(F.col("rank") <= k).select("topic", F.trim("term").alias("word")).distinct()
+    scores = heterogeneity(used.join(vectors, "word"), "topic", "vector")
+    missing = F.when(F.col("topic") != NOISE, F.lit(0.0))
+    return used.select("topic").distinct().join(scores, "topic", "left").select(
+        "topic", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("heterogeneity", missing).alias("heterogeneity")
+    )
+
+
 def phrase_coverage(top: DataFrame, phrases: list[str]) -> DataFrame:
     """phrase, covered: some topic word contains the phrase or lies in it. One pass over the words."""
     word = F.lower("term")

@@ -22,6 +22,7 @@ from tidemark.operators.topics import (
     topic_keywords,
     topic_word_sets,
     topic_word_weights,
+    word_heterogeneity,
 )
 from tidemark.session import cut_lineage
 
@@ -80,15 +81,28 @@ def split_largest(df: DataFrame, text: str, key: str, topic: str = "cc_topic", s
 
 
 def label_topics(df: DataFrame, text: str, topic: str = "cc_topic", groups=(), stop=None, min_topics: int = 5,
-                 max_share: float = 0.95, transitive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows with merged topics, keywords and label; top words per original topic)."""
+                 max_share: float = 0.95, transitive: bool = True, vectors: DataFrame | None = None,
+                 key: str | None = None, split: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with merged topics, keywords and label; top words per original topic).
+
+    Merge, split, heterogeneity, keywords, label. Topics all of whose words
+    fall to the limits are demoted like others without words. ``split``
+    (settings of ``split_largest``, which needs ``key``) clusters oversized
+    topics again; their parts have a fixed keyword. ``vectors`` (word, vector)
+    adds ``cc_heterogeneity``, which is null for noise and for parts.
+    """
     counts = term_counts(df, topic, text, stop if stop is not None else domain_stop_words(),
                          min_topics=min_topics, max_share=max_share)
     top = cut_lineage(top_words(topic_word_weights(counts), 10))
     sizes = df.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"))
-    mapping = merge_map(topic_word_sets(top), sizes, transitive=transitive)
+    mapping = merge_map(topic_word_sets(top, topics=sizes), sizes, transitive=transitive)
     merged = apply_merge(df, mapping, topic)
-    return with_keywords(merged, topic_keywords(top), topic, groups), top
+    if split is not None:
+        merged = split_largest(cut_lineage(merged), text, key, topic, **split)
+    if vectors is not None:
+        scores = word_heterogeneity(top, vectors).select(F.col("topic").alias(topic), F.col("heterogeneity").alias("cc_heterogeneity"))
+        merged = merged.join(scores, topic, "left")
+    return with_keywords(merged, topic_keywords(top, topics=sizes), topic, groups), top
 
 
 def with_keywords(df: DataFrame, keywords: DataFrame, topic: str = "cc_topic", groups=()) -> DataFrame:

@@ -24,6 +24,9 @@ SCHEMAS = {
     "inputevents": "subject_id long, itemid long, starttime timestamp_ntz",
 }
 
+# tables with typed-in text, whose fields may hold line ends
+FREE_TEXT = {"triage"}
+
 
 def fields(schema: str) -> list[tuple[str, str]]:
     return [tuple(f.split()) for f in schema.split(",")]
@@ -54,23 +57,29 @@ def typed(raw: DataFrame, schema: str, tokens=NULL_TOKENS) -> DataFrame:
     return raw.select(*columns)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, tokens=NULL_TOKENS) -> DataFrame:
-    """CSV with a header, read as text by column name and then cast."""
-    header = spark.read.option("header", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, tokens=NULL_TOKENS, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, read as text by column name and then cast.
+
+    ``multi_line`` is for tables whose quoted fields may hold line ends; Spark
+    reads each file of such a table in one task.
+    """
+    header = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return typed(header, schema, tokens)
 
 
 def ensure_parquet(spark: SparkSession, name: str, folders: list[str], out: str, partitions: int | None = None) -> str:
     """Convert a table to Parquet once and return the Parquet path.
 
-    A gzip file is read by one task, so its rows are spread before writing.
+    A gzip file, or a file with line ends in its fields, is read by one task,
+    so its rows are spread before writing.
     """
     target = f"{out}/{name}.parquet"
     if (Path(target) / "_SUCCESS").exists():
         return target
     path = find_table(name, folders)
-    rows = read_csv(spark, path, SCHEMAS[name])
-    if path.endswith(".gz"):
+    multi_line = name in FREE_TEXT
+    rows = read_csv(spark, path, SCHEMAS[name], multi_line=multi_line)
+    if multi_line or path.endswith(".gz"):
         rows = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.write.mode("overwrite").parquet(target)
     return target
