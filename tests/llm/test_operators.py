@@ -178,6 +178,19 @@ def test_leaks_recall_at_the_allowed_edits():
     assert hit >= 38
 
 
+@pytest.mark.parametrize("size", [300, 1000])
+def test_leaks_recall_of_long_items(size):
+    r = random.Random(5)
+    items = [(i, " ".join(f"i{i}w{r.randrange(5 * size)}" for _ in range(size))) for i in range(20)]
+    index = decontam.Index([(i, t.encode()) for i, t in items], 0.8, 0.99, 5)
+    for i, text in items:
+        words = text.split()
+        for at in r.sample(range(size), size // 5):
+            words[at] = r.choice(["changed", words[at] + " added", ""])
+        found = index.find(" ".join(["x"] * 30 + words + ["y"] * 30).encode())
+        assert [(f["item_id"], f["edits"] <= size // 5) for f in found] == [(i, True)]
+
+
 def test_toxicity(spark, odd, none, folder):
     r = random.Random(6)
     bad, plain = ["grobian", "widerling"], [f"wort{i}" for i in range(300)]

@@ -6,10 +6,11 @@ several walks; of each walk a few places are sampled, and a window that agrees
 with an item in all sampled places of one walk is compared with it exactly.
 The number of walks follows from the recall wanted. A window is embedded only
 where the text has one of the item's rarest words and, around it, as many of
-its words as any passage within the allowed edits must have.
+its words as any passage within the allowed edits must have. For items so long
+that more than MOST_WALKS walks would be needed, all such places are compared
+exactly, without walks, which misses nothing.
 """
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from tidemark.llm.words import mix, raw, slices, word_hashes
 
 MARKS = b".,;:!?\"'()[]{}<>|%&$#*-_/`~^+=@\\"
 PLACES = 3  # sampled of each walk
-MOST_WALKS = 64
+MOST_WALKS = 64  # of an item; one that needs more is compared without walks
 BLOCK_WORDS = 1_000_000  # benchmark words that tasks hold at once
 NOTHING = np.uint64(0)  # what a walk reads behind the end
 
@@ -95,6 +96,17 @@ def _stretches(starts: list[int], gap: int):
     yield first, last
 
 
+def _joined(ranges: list[tuple[int, int]]):
+    """Sorted ranges with those that overlap made one."""
+    low, high = ranges[0]
+    for begin, end in ranges:
+        if begin > high:
+            yield low, high
+            low, high = begin, end
+        high = max(high, end)
+    yield low, high
+
+
 class Index:
     """Anchor words and walk tables of a block of items."""
 
@@ -118,10 +130,18 @@ class Index:
             for place, w in enumerate(own):
                 if w in rarest:
                     self.anchors.setdefault(w, []).append((number, place))
-        self.walks, self.tables = {}, {}
-        for size in {i.size for i in self.items}:
-            numbers = [k for k, i in enumerate(self.items) if i.size == size]
-            self.walks[size] = walks = self.walks_for(size, self.items[numbers[0]].edits, recall)
+        self.walks, self.tables = {}, {}  # walks: none for sizes that are compared without
+        of_size: dict[int, list[int]] = {}
+        for number, i in enumerate(self.items):
+            of_size.setdefault(i.size, []).append(number)
+        walks: int | None = 0
+        for size, numbers in sorted(of_size.items()):
+            # longer items need more walks: behind the first size that needs too many none is tried
+            if walks is not None:
+                walks = self.walks_for(size, self.items[numbers[0]].edits, recall)
+            self.walks[size] = walks
+            if walks is None:
+                continue
             data = np.concatenate([self.items[k].hashes for k in numbers])
             # each item must be read as if it stood alone
             for k, number in enumerate(numbers):
@@ -130,12 +150,15 @@ class Index:
                     self.tables.setdefault((size, w, s), []).append(number)
 
     @staticmethod
-    def walks_for(size: int, edits: int, recall: float, trials: int = 40) -> int:
-        """Walks that find a passage with all allowed edits with probability ``recall``, by trial on random words."""
+    def walks_for(size: int, edits: int, recall: float, trials: int = 400) -> int | None:
+        """Walks that find a passage with all allowed edits with probability ``recall``, by trial on random words.
+
+        None if ``MOST_WALKS`` walks are too few.
+        """
         if not edits:
             return 4
         rng = np.random.default_rng(size)
-        tried, first, second = 16, [], []
+        first, second = [], []
         for _ in range(trials):
             word = rng.integers(1, 1 << 62, size).tolist()
             other = list(word)
@@ -148,25 +171,46 @@ class Index:
             first += word
             second += (other + [0] * size)[:size]
         starts = np.arange(trials) * size
-        pairs = [walk_signatures(np.array(x, np.uint64), starts, size, tried) for x in (first, second)]
-        met = (pairs[0] == pairs[1]).sum()
-        share = max(met / (trials * tried), 0.02)
-        return min(MOST_WALKS, max(4, math.ceil(math.log(1 - recall) / math.log(1 - share))))
+        pairs = [walk_signatures(np.array(x, np.uint64), starts, size, MOST_WALKS) for x in (first, second)]
+        met = (pairs[0] == pairs[1]).sum(1)
+        missed = np.ones(trials)  # chance that none of so many of the tried walks meets, by pair
+        for walks in range(MOST_WALKS):
+            missed *= np.maximum(0, MOST_WALKS - walks - met) / (MOST_WALKS - walks)
+            if walks >= 3 and missed.mean() <= 1 - recall:
+                return walks + 1
+        return None
 
     def find(self, text: bytes) -> list[dict]:
         """Items in one text, each with its fewest edits and the first place that has them."""
         words = plain_words(text)
         starts: dict[int, set[int]] = {}
+        ranges: dict[int, set[tuple[int, int]]] = {}  # of items without walks
+        held: dict[int, np.ndarray] = {}
         for place, hits in [(p, self.anchors[w]) for p, w in enumerate(words) if w in self.anchors]:
             for number, offset in hits:
                 item = self.items[number]
                 begin, slack = place - offset, item.edits
+                if self.walks[item.size] is None:
+                    if number not in held:
+                        own = np.fromiter(map(item.words.__contains__, words), bool, len(words))
+                        held[number] = np.append(0, np.cumsum(own))
+                    low, high = max(0, begin - slack), min(len(words), max(0, begin + item.size + slack))
+                    if held[number][high] - held[number][low] >= item.size - slack:
+                        ranges.setdefault(number, set()).add((low, high))
+                    continue
                 around = words[max(0, begin - slack) : max(0, begin + item.size + slack)]
                 if sum(map(item.words.__contains__, around)) >= item.size - slack:
                     last = max(0, len(words) - 1)
                     starts.setdefault(item.size, set()).update(range(min(max(0, begin - slack), last), min(max(0, begin + slack), last) + 1))
         found: dict[int, tuple[int, int, int]] = {}
-        data = word_hashes(words) if starts else None
+        data = word_hashes(words) if starts or ranges else None
+        for number, places in sorted(ranges.items()):
+            item, best = self.items[number], None
+            for low, high in _joined(sorted(places)):
+                edits, begin, end = edit_distance(item.hashes, data[low:high])
+                best = min(best or (edits, low + begin, low + end), (edits, low + begin, low + end))
+            if best[0] <= item.edits:
+                found[number] = best
         for size, places in sorted(starts.items()):
             places = np.array(sorted(places))
             candidates: dict[int, set[int]] = {}
