@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=1)
     return found.filter(F.size("leaks") == 0).select(docs.columns)
 
 

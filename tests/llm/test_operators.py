@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oracle import connect, differences
 from tidemark.llm import chat, decontam, langid, linededup, outliers, paritysketch, phrases, pieces, queries, toxicity, warc
 from tidemark.llm.words import shingle_set
@@ -191,6 +192,21 @@ def test_leaks_recall_of_long_items(size):
         assert [(f["item_id"], f["edits"] <= size // 5) for f in found] == [(i, True)]
 
 
+def test_leaks_of_short_items_and_without_blanks(spark, tmp_path):
+    han, thai = "床前明月光疑是地上霜举头望明月低头思故乡", "สวัสดีครับวันนี้อากาศดีมาก"
+    items = [(1, "Who is she?"), (2, "tea"), (3, han), (4, thai), (5, "東京都"), (6, "?!")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["so who is she, then", "who was she", "teapot", "x tea", f"他说“{han[:9]}，{han[9:14]}天{han[15:]}。”", f"ก{thai}ข", "東京 都", "東京に都", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["begin_word"], r["end_word"]) for r in found}
+    assert got.pop((4, 3))[0] == 1
+    assert got == {(0, 1): (0, 1, 4), (3, 2): (0, 1, 2), (5, 4): (0, 1, 1 + len(thai)), (6, 5): (0, 0, 3)}
+    kept = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 7, 8}
+
+
 def test_toxicity(spark, odd, none, folder):
     r = random.Random(6)
     bad, plain = ["grobian", "widerling"], [f"wort{i}" for i in range(300)]

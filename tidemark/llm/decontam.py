@@ -11,6 +11,7 @@ that more than MOST_WALKS walks would be needed, all such places are compared
 exactly, without walks, which misses nothing.
 """
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,15 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from tidemark.llm.sent import sent
 from tidemark.llm.words import mix, raw, slices, word_hashes
 
+# scripts written without blanks, as ranges that Python and Java read alike: Thai and Lao, Tibetan, Myanmar, Khmer, Tai Le
+# to Tai Tham, Balinese, kana, Han with its marks of repetition and zero, Javanese, Cham, half-width kana
+UNSPACED = (
+    "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3021-\u3029"
+    "\u3031-\u3035\u3040-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uaa00-\uaa7f"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+ONE = re.compile(f"[{UNSPACED}]")
+WIDE_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 MARKS = b".,;:!?\"'()[]{}<>|%&$#*-_/`~^+=@\\"
 PLACES = 3  # sampled of each walk
 MOST_WALKS = 64  # of an item; one that needs more is compared without walks
@@ -30,7 +40,15 @@ NOTHING = np.uint64(0)  # what a walk reads behind the end
 
 
 def plain_words(text: bytes) -> list[bytes]:
-    """Words with A-Z lower-cased and ASCII punctuation taken out."""
+    """Words with A-Z lower-cased and ASCII punctuation taken out.
+
+    Each character of a script without blanks is a word; in texts that have
+    such, full-width punctuation ends words and is taken out as well.
+    """
+    if not text.isascii():
+        own = text.decode(errors="surrogateescape")
+        if ONE.search(own):
+            text = ONE.sub(r" \g<0> ", WIDE_MARKS.sub(" ", own)).encode(errors="surrogateescape")
     return text.lower().translate(None, MARKS).split()
 
 
@@ -40,6 +58,7 @@ class Item:
     hashes: np.ndarray
     edits: int  # allowed
     words: frozenset
+    own: list[bytes]
 
     @property
     def size(self) -> int:
@@ -119,12 +138,12 @@ class Index:
                 common[w] = common.get(w, 0) + 1
         self.anchors: dict[bytes, list[tuple[int, int]]] = {}
         for (id, _), own in zip(items, words):
-            if len(own) < min_words:
+            if len(own) < max(1, min_words):
                 continue
             # a little more, so that 0.8 of 15 words are 3 edits in binary fractions too
             edits = int((1 - similarity) * len(own) + 1e-9)
             number = len(self.items)
-            self.items.append(Item(id, word_hashes(own), edits, frozenset(own)))
+            self.items.append(Item(id, word_hashes(own), edits, frozenset(own), own))
             # of so many different words, any passage within the edits keeps one
             rarest = set(sorted(set(own), key=lambda w: (common[w], -len(w), w))[: edits + 1])
             for place, w in enumerate(own):
@@ -133,6 +152,8 @@ class Index:
         self.walks, self.tables = {}, {}  # walks: none for sizes that are compared without
         of_size: dict[int, list[int]] = {}
         for number, i in enumerate(self.items):
+            if not i.edits:
+                continue  # compared word by word
             of_size.setdefault(i.size, []).append(number)
         walks: int | None = 0
         for size, numbers in sorted(of_size.items()):
@@ -155,8 +176,6 @@ class Index:
 
         None if ``MOST_WALKS`` walks are too few.
         """
-        if not edits:
-            return 4
         rng = np.random.default_rng(size)
         first, second = [], []
         for _ in range(trials):
@@ -186,10 +205,15 @@ class Index:
         starts: dict[int, set[int]] = {}
         ranges: dict[int, set[tuple[int, int]]] = {}  # of items without walks
         held: dict[int, np.ndarray] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         for place, hits in [(p, self.anchors[w]) for p, w in enumerate(words) if w in self.anchors]:
             for number, offset in hits:
                 item = self.items[number]
                 begin, slack = place - offset, item.edits
+                if not slack:
+                    if number not in found and begin >= 0 and words[begin : begin + item.size] == item.own:
+                        found[number] = (0, begin, begin + item.size)
+                    continue
                 if self.walks[item.size] is None:
                     if number not in held:
                         own = np.fromiter(map(item.words.__contains__, words), bool, len(words))
@@ -202,7 +226,6 @@ class Index:
                 if sum(map(item.words.__contains__, around)) >= item.size - slack:
                     last = max(0, len(words) - 1)
                     starts.setdefault(item.size, set()).update(range(min(max(0, begin - slack), last), min(max(0, begin + slack), last) + 1))
-        found: dict[int, tuple[int, int, int]] = {}
         data = word_hashes(words) if starts or ranges else None
         for number, places in sorted(ranges.items()):
             item, best = self.items[number], None
@@ -247,19 +270,23 @@ def with_leaks(
     """``docs`` with ``leaks`` in place of an equally named column: the benchmark items that the text holds.
 
     An item is held if some part of the text is at most ``(1 - similarity)``
-    of the item's words away from it in word edits. Words are lower-cased (A-Z)
-    and lose ASCII punctuation. Each leak has the item, its fewest edits and
+    of the item's words away from it in word edits; under five words 0.8 allows
+    none, so only an exact copy is told. Words are lower-cased (A-Z) and lose
+    ASCII punctuation; in scripts without blanks each character is a word.
+    Each leak has the item, its fewest edits and
     the first word range (in words that are left) that has so few.
 
     Items are searched in blocks of about ``BLOCK_WORDS`` words, which bounds
     what a task holds; each block reads the texts once more. Null and empty
-    texts hold nothing; null items and items under ``min_words`` words are in
-    no text; items with equal texts are all told. Repeated rows of ``docs`` are
+    texts hold nothing; null items, items without a word (only blanks or
+    punctuation) and items under ``min_words`` words are in no text; with
+    ``min_words`` of 1 all others are searched. Items with equal texts are all told. Repeated rows of ``docs`` are
     searched each by itself. An empty table gives its counterpart empty lists.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    single = F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")) + single)).first()[0] or 0
     blocks = words // BLOCK_WORDS + 1
     rows = docs.select(*[c for c in docs.columns if c != "leaks"])
     fields, out = rows.schema.fields, rows.withColumn("leaks", F.array().cast(LEAKS))
