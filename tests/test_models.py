@@ -5,8 +5,11 @@ import random
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidemark.catalog import learner_queries
+from tidemark.catalog.registry import QUERIES
 from tidemark.operators import evaluation, learners, preparation, running, splits
 from tidemark.operators.clustering import density_clusters
+from tidemark.plans import experiments
 
 
 def scored(spark, rows):
@@ -132,3 +135,21 @@ def test_clusters_and_noise(spark):
     df = spark.createDataFrame(rows, "id long, at array<double>")
     got = {r.id: r.topic for r in density_clusters(df, "at", 1.0, 3, 10).collect()}
     assert {got[i] for i in range(60)} == {0} and {got[100 + i] for i in range(20)} == {1} and got[200] == -1
+
+
+def test_registered_models_run_the_operators_own_settings(monkeypatch):
+    called = {}
+    monkeypatch.setattr(learner_queries, "split_table", lambda *a: "split")
+    monkeypatch.setattr(learner_queries, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(experiments, "prepared_sides", lambda *a: ("train", "test", "preparation"))
+    monkeypatch.setattr(experiments, "model_comparison", lambda df: df)
+    for name in ("subgroup_trends", "model_predictions", "selective_prediction", "importance"):
+        monkeypatch.setattr(experiments, name, lambda *a, name=name, **kw: called.setdefault(name, []).append((a, kw)))
+    for name in ("subgroup_trends", "model_predictions", "model_compare", "selective_prediction", "perm_importance"):
+        QUERIES[name](None, None)
+    assert called.pop("subgroup_trends")[0][1] == {}
+    assert called == {
+        "model_predictions": [(("train", "test"), {})] * 2,
+        "selective_prediction": [(("split",), {})],
+        "importance": [(("train", "test", "preparation"), {})],
+    }
