@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bitpack import read_documents, write_packed
 from tidemark.llm.chat import as_events, fold_events, read_back, render
 from tidemark.llm.decontam import find_leaks
 from tidemark.llm.langid import declared_language, identify, page_text
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 WORD = r"[^\x20\x09-\x0D]+"
 # DuckDB: white space of the contracts, as characters
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -201,3 +203,10 @@ def op5_language_id(spark, folder):
     # documents have no address; where they come from stands for the host
     own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("url"), F.col("source").alias("host"))
     return identify(rows.unionByName(own), docs)
+
+
+@query("op11_bit_packing")
+def op11_bit_packing(spark, folder):
+    packed = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_packed(table(spark, folder, "documents"), public_tokenizers.path(BYTES), packed)
+    return read_documents(spark, packed, ids=False)
