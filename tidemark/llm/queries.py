@@ -16,6 +16,7 @@ from tidemark.llm.outliers import quality_rules
 from tidemark.llm.paritysketch import jaccard_components
 from tidemark.llm.phrases import remove_repeats
 from tidemark.llm.pieces import encode_texts
+from tidemark.llm.prefixtrie import trie_nodes
 from tidemark.llm.toxicity import score_toxicity
 from tidemark.llm.warc import assemble, read_records, with_referred, write_archives
 from tidemark.session import checkpoint_folder
@@ -31,6 +32,19 @@ BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+# DuckDB: h, the CRC-32 of a decimal conv_id modulo 4, bit by bit
+CRC32 = """
+      WITH RECURSIVE bytes AS (
+        SELECT DISTINCT {0}, {0}::VARCHAR AS s FROM conversations WHERE {0} IS NOT NULL
+      ), state AS (
+        SELECT {0}, s, 0 AS step, 4294967295::BIGINT AS c FROM bytes
+        UNION ALL
+        SELECT {0}, s, step + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+        FROM (SELECT {0}, s, step, CASE WHEN step % 8 = 0 THEN xor(c, ascii(s[step // 8 + 1])::BIGINT) ELSE c END AS x FROM state WHERE step < 8 * length(s))
+      )
+      SELECT {0}, xor(c, 4294967295) % 4 AS h FROM state WHERE step = 8 * length(s)"""
+
+
 def query(name: str, sql: str | None = None):
     def register(build):
         QUERIES[name] = build
@@ -210,3 +224,42 @@ def op11_bit_packing(spark, folder):
     packed = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_packed(table(spark, folder, "documents"), public_tokenizers.path(BYTES), packed)
     return read_documents(spark, packed, ids=False)
+
+
+@query(
+    "op12_prefix_trie",
+    rf"""
+    WITH turns AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS base, h
+      FROM (SELECT DISTINCT conv_id FROM turns) JOIN ({CRC32.format("conv_id")}) USING (conv_id)
+    ), again AS (
+      SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+      UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h
+    ), path AS (
+      SELECT conv_id, row_number() OVER w AS depth, text, md5(string_agg(md5(role || chr(1) || md5(text)), '' ) OVER w) AS node
+      FROM again WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+      UNION ALL SELECT conv_id, 0, '', 'root' FROM convs
+    ), last AS (
+      SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id
+    ), nodes AS (
+      SELECT p.node, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(p.text), '{WORD}')) AS words,
+        sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE l.depth = p.depth), '')) AS ends_sha256
+      FROM path p JOIN last l ON l.conv_id = p.conv_id GROUP BY p.node, p.depth
+    ), links AS (
+      SELECT DISTINCT p.node AS parent, c.node AS child FROM path p JOIN path c ON c.conv_id = p.conv_id AND c.depth = p.depth + 1
+    ), under AS (
+      SELECT DISTINCT p.node AS top, c.node FROM path p JOIN path c ON c.conv_id = p.conv_id AND c.depth >= p.depth
+    ), totals AS (
+      SELECT u.top, count(*) FILTER (WHERE u.node NOT IN (SELECT parent FROM links)) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+      FROM under u JOIN nodes n ON n.node = u.node GROUP BY u.top
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, (SELECT count(*) FROM links k WHERE k.parent = n.node) AS n_children,
+      t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN totals t ON t.top = n.node LEFT JOIN links l ON l.child = n.node LEFT JOIN nodes p ON p.node = l.parent
+    """,
+)
+def op12_prefix_trie(spark, folder):
+    return trie_nodes(table(spark, folder, "conversations"))
