@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bitpack import read_documents, write_packed
 from tidemark.llm.chat import as_events, fold_events, read_back, render
 from tidemark.llm.decontam import find_leaks
+from tidemark.llm.divergence import audit
 from tidemark.llm.langid import declared_language, identify, page_text
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.outliers import quality_rules
@@ -263,3 +264,41 @@ def op11_bit_packing(spark, folder):
 )
 def op12_prefix_trie(spark, folder):
     return trie_nodes(table(spark, folder, "conversations"))
+
+
+@query(
+    "op13_source_divergence",
+    rf"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+    ), found AS (
+      SELECT doc, lang, source, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+    ), per_doc AS (
+      SELECT doc, lang, source, term, count(*) AS n FROM found GROUP BY ALL
+    ), kept AS (
+      SELECT lang, term, sum(n)::HUGEINT AS n FROM per_doc GROUP BY lang, term HAVING count(*) >= 3
+    ), langs AS (
+      SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+    ), used AS (
+      SELECT lang, source, term, sum(d.n)::HUGEINT AS n FROM per_doc d JOIN kept USING (lang, term) GROUP BY lang, source, term
+    ), groups AS (
+      SELECT g.lang, g.source, coalesce(sum(u.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN used u USING (lang, source) GROUP BY g.lang, g.source
+    ), probs AS (
+      SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (g.total + l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v) AS q
+      FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+    ), pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM probs a JOIN probs b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), everything AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM probs WHERE n > 0 AND p > q
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM everything
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op13_source_divergence(spark, folder):
+    return audit(table(spark, folder, "documents"))
