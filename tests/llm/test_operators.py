@@ -103,7 +103,8 @@ def test_phrases(odd, none):
     rows = phrases.remove_repeats(odd, size=5).collect()
     assert len(rows) == odd.count()
     texts = [r["text"] for r in odd.collect()]
-    count = collections.Counter(tuple(t.split()[i : i + 5]) for t in texts if t for i in range(len(t.split()) - 4))
+    split = [t.split() for t in texts if t]
+    count = collections.Counter(tuple(words[i : i + 5]) for words in split for i in range(len(words) - 4))
 
     def kept(text):
         words = (text or "").split()
