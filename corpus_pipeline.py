@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontam import with_leaks
 from tidemark.llm.linededup import dedup_lines
-from tidemark.llm.paritysketch import jaccard_components
+from tidemark.llm.paritysketch import first_of_components
 from tidemark.llm.pieces import encode_texts
 from tidemark.llm.toxicity import score_toxicity
 from tidemark.session import cut_lineage
@@ -20,33 +20,33 @@ MODEL = "piece_bpe_32k.model"
 ORACLE_SQL = None  # a trained network decides the first stage
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """Id, text and all columns as one, so that no column can clash with one of an operator."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network does not find toxic."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 0").select(docs.columns)
+    scored = score_toxicity(_apart(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that an earlier one has."""
-    kept = dedup_lines(docs)
-    return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(docs.columns)
+    """Every document, without the lines that an earlier one has; ``text`` and ``n_chars`` are those of what is left."""
+    kept = dedup_lines(_apart(docs))
+    own = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return kept.select(*(own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): that with the smallest id.
-
-    Of rows that repeat an id one stays; rows without an id stay.
-    """
-    groups = jaccard_components(docs, k=5, num=80, den=100).filter("doc_id is null or component_id = doc_id")
-    first = groups.filter("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near copies (five words, 0.8): that with the smallest id."""
+    return first_of_components(docs, k=5, num=80, den=100)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=1)
-    return found.filter(F.size("leaks") == 0).select(docs.columns)
+    found = with_leaks(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=1)
+    return found.filter(F.size("leaks") == 0).select("row.*")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
