@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tidemark.llm.sent import sent
 from tidemark.llm.words import mix, raw, slices, word_hashes
+from tidemark.session import cut_lineage
 
 # scripts written without blanks, as ranges that Python and Java read alike: Thai and Lao, Tibetan, Myanmar, Khmer, Tai Le
 # to Tai Tham, Balinese, kana, Han with its marks of repetition and zero, Javanese, Cham, half-width kana
@@ -288,26 +289,28 @@ def with_leaks(
     single = F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")) + single)).first()[0] or 0
     blocks = words // BLOCK_WORDS + 1
-    rows = docs.select(*[c for c in docs.columns if c != "leaks"])
-    fields, out = rows.schema.fields, rows.withColumn("leaks", F.array().cast(LEAKS))
+    # the caller's columns are one, so that none can clash
+    taken = [F.col(f"`{c}`") for c in docs.columns if c != "leaks"]
+    out = docs.select(F.struct(*taken).alias("row"), F.col(text).alias("text"), F.array().cast(LEAKS).alias("leaks"))
+    kinds = StructType([*out.schema.fields, StructField("more", LEAKS)])
     for k in range(blocks):
+        if k:  # a task holds the index of one block only
+            out = cut_lineage(out)
         own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
         index = sent(spark, Index([(r[0], r[1].encode()) for r in own], similarity, recall, min_words))
-        kinds = StructType([*fields, StructField("leaks", LEAKS), StructField("_more", LEAKS)])
-        out = out.mapInArrow(_search(index, text), kinds)
-        out = out.withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
-    return out
+        out = out.mapInArrow(_search(index), kinds).withColumn("leaks", F.concat("leaks", "more")).drop("more")
+    return out.select("row.*", "leaks")
 
 
-def _search(index, text):
+def _search(index):
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "edits", "begin_word", "end_word")]))
 
     def run(batches):
         own = index()
         for batch in batches:
             for part in slices(batch):
-                found = [own.find(t) for t in raw(part.column(text))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, "_more"])
+                found = [own.find(t) for t in raw(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, "more"])
 
     return run
 

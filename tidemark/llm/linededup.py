@@ -52,8 +52,13 @@ def dedup_lines(
         .groupBy("_id", "_text_hash")
         .agg(F.array_sort(F.collect_set("_at")).alias("_dropped"))
     )
-    whole = docs.withColumns(
-        {"_id": F.coalesce(F.col(id).cast("long"), F.lit(LAST)), "_text_hash": F.xxhash64(F.col(text)), "_lines": _lines(F.col(text))}
+    # the caller's columns are one, so that none can clash
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in (id, text, *taken))).alias("_row"),
+        F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("_id"),
+        F.xxhash64(F.col(text)).alias("_text_hash"),
+        F.col(text).alias("_text"),
+        _lines(F.col(text)).alias("_lines"),
     )
     # what lies between two dropped lines is one slice, so long texts cost no more than their length
     ends = F.concat(F.array(F.lit(-1)), F.col("_dropped"), F.array(F.size("_lines")))
@@ -61,12 +66,10 @@ def dedup_lines(
         F.sequence(F.lit(0), F.size("_dropped")),
         lambda i: F.slice("_lines", F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1),
     )
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    return whole.join(dropped, ["_id", "_text_hash"], "left").select(
-        id,
-        text,
-        *taken,
+    kept = F.when(F.col("_dropped").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    told = F.struct(
         kept.alias("kept_text"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return whole.join(dropped, ["_id", "_text_hash"], "left").select("_row", told.alias("_told")).select("_row.*", "_told.*")
