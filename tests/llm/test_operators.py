@@ -302,3 +302,60 @@ def test_chat_folds_and_renders(spark):
 def test_escapes_are_reversible(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")), chat.escape_role(F.col("t"))).first()
     assert chat.unescape(row[0]) == text and chat.unescape_role(row[1]) == text and "<|" not in row[0] + row[1]
+
+
+def test_near_copies_with_repeated_ids(spark, odd, none):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a"), (1, "a quite different text of its own", "b"), (2, words + " tail", "c"), (3, "a quite different text of its own", "d"), (None, words, "e"), (4, None, "f"), (5, "", "g"), (1, words, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted((r["text_hash"] for r in kept.collect())) == ["a", "b", "e", "f", "g"] and kept.columns == docs.columns
+    assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
+    kept = corpus_pipeline.drop_near_copies(spark, odd, "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 4, 6, 8]
+
+
+CLASH = "doc_id long, text string, score double, predicted string, held_out long, kept_text string, n_lines string, n_dropped long, leaks string, _id long, _dropped string, _lines string, _text_hash long, _more string, n_chars long, row string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, 0.25, "p", i, "k", "n", 5, "l", 6, "d", "x", 7, "m", 8, "r") for i, t in enumerate([*TEXTS, "a line of many\nown line here", "other one\nA line of many"])]
+    return spark.createDataFrame([*rows, rows[4], (None,) * 16], CLASH).repartition(2)
+
+
+def test_stages_return_the_callers_columns(spark, clashing, folder):
+    given = collections.Counter(map(tuple, clashing.collect()))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_benchmark, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, clashing, folder)
+        assert kept.columns == clashing.columns and not collections.Counter(map(tuple, kept.collect())) - given
+        assert stage(spark, clashing.limit(0), folder).count() == 0
+    lines = corpus_pipeline.drop_lines(spark, clashing, folder)
+    assert lines.columns == clashing.columns and lines.count() == clashing.count()
+    got = {r["doc_id"]: r for r in lines.collect()}
+    assert got[10]["text"] == "other one" and got[10]["n_chars"] == 9 and got[10]["_dropped"] == "d" and got[10]["kept_text"] == "k"
+    assert corpus_pipeline.drop_lines(spark, clashing.limit(0), folder).count() == 0
+
+
+def test_line_and_leak_operators_with_clashing_names(spark, clashing):
+    rows = linededup.dedup_lines(clashing).collect()
+    assert len(rows) == clashing.count() and {r["_id"] for r in rows if r["doc_id"] is not None} == {6} and {r["_dropped"] for r in rows} == {"d", None}
+    items = spark.createDataFrame([(1, "word1x1 word2x2 word3x3 word4x4 word5x5")], "item_id long, text string")
+    rows = decontam.with_leaks(clashing, items).collect()
+    assert sum(len(r["leaks"]) for r in rows) >= 2 and {r["_more"] for r in rows} == {"m", None}
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x i{i}w0 " + " ".join(f"i{i}w{j}" for j in range(12)) + " y") for i in range(0, 30, 3)], "doc_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 100)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
+    assert got == {(i, i) for i in range(0, 30, 3)}
+
+
+def test_pipeline_runs_through(spark, folder):
+    rows = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert 0 < len(rows) <= docs.count() and len({r["doc_id"] for r in rows}) == len(rows)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.MODEL))
+    assert all(r["ids"] == library.encode(library.decode(r["ids"])) for r in rows[:20])
