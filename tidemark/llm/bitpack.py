@@ -33,10 +33,11 @@ MAGIC = b"TMBITS01"
 LAYOUT = "<8sIIQQQQQ"
 FOOTER = struct.calcsize(LAYOUT)
 BLOCK_IDS = 1 << 16
-SHARD_BYTES = 64 << 20  # of text in a shard, about
-REMEMBERED = 500_000  # stretches in each of two generations that a task keeps
+SHARD_BYTES = 32 << 20  # of text in a shard, about
+REMEMBERED = 300_000  # stretches in each of two generations that a task keeps
 LONG = 48  # characters of a stretch that is not kept
-JOINED = 2000  # new stretches that the library gets as one text
+JOINED = 20_000  # new stretches that the library gets as one text
+OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
@@ -47,7 +48,7 @@ def even(text: str) -> bool:
     """
     if not text or any(p in text for p in PAIRS) or text[0] in " \n" or text[-1] in " \n":
         return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return not any(c in text for c in OTHER)
 
 
 def width_of(vocabulary: int) -> int:
