@@ -74,3 +74,12 @@ def discard(*tables: DataFrame) -> None:
             if folder.rsplit("/", 1)[1].startswith("tidemark-"):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    Its cleaner acts when the driver's JVM collects garbage, which it asks for
+    by itself only every half hour; loops of jobs fill the disks before.
+    """
+    spark.sparkContext._jvm.System.gc()
