@@ -21,12 +21,16 @@ from tidemark.llm.meetings import SENT, Meetings, bit_filter, passes
 from tidemark.llm.sent import sent
 from tidemark.llm.words import MASK, ODD, mix, raw, shingle_set, slices
 from tidemark.operators.graph import connected_components
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, discard, release
 
 KEYS_PER_GROUP = 400_000  # slice keys that one task compares at a time
 KEYS_AT_ONCE = 2_000_000  # slice keys that a task holds before it sends them on
 SKETCH_WORDS = 8  # 64-bit words of the narrow sketch that is compared before two sets are
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 24  # of the filter of wanted ids, at least; it grows with them
+MOST_FILTER_BITS = 1 << 30  # beyond, more rows pass and are shingled in vain
+FILTER_ROOM = 8  # bits for each wanted id
+WHOLE = 256  # shingles of sets that are verified by all 64 bits
+STAR = 32  # sets that are verified against one at a time, about
 DRAWS = 2  # rounds that join what is easily joined, before all other pairs are compared
 
 
@@ -93,7 +97,7 @@ def _narrow(shingles: np.ndarray) -> list[int]:
 
 
 def shingled(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(id, n, class, sketch) of every row; equal sets have equal classes, a row without words has none."""
+    """(id, text_hash, n, class, sketch) of every row; equal sets have equal classes, a row without words has none."""
 
     def tell(batches):
         for batch in batches:
@@ -102,15 +106,16 @@ def shingled(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
+                        part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class(s) for s in sets], pa.int64()),
                         pa.array([_narrow(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "class", "sketch"],
+                    ["id", "text_hash", "n", "class", "sketch"],
                 )
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(tell, "id long, n long, class long, sketch array<long>")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return rows.mapInArrow(tell, "id long, text_hash long, n long, class long, sketch array<long>")
 
 
 def members(docs: DataFrame, text: str, k: int, bands: Bands, groups: int) -> DataFrame:
@@ -141,15 +146,37 @@ def members(docs: DataFrame, text: str, k: int, bands: Bands, groups: int) -> Da
     return rows.groupBy("group").applyInArrow(compare, "key long, class long")
 
 
-def _sets(docs: DataFrame, id: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) for the classes in ``wanted`` (id, class).
+def _stored(shingles: np.ndarray) -> bytes:
+    """A sorted set; one of more than ``WHOLE`` shingles keeps 32 bits of each."""
+    return shingles.tobytes() if len(shingles) <= WHOLE else np.sort(shingles.astype(np.uint32)).tobytes()
 
-    Only rows that a bit filter of fixed size lets through are shingled again;
-    the filter keeps every wanted row and the join drops the others. Repeated
-    rows are one.
+
+def _common(x: tuple[int, bytes], y: tuple[int, bytes]) -> int:
+    """Shingles that two stored sets have in common.
+
+    Equal 32 bits count as often as both sets have them, so the count is never
+    too small. Near the threshold it is too large about once in 10^8 pairs.
+    """
+    n = [m for m, _ in (x, y)]
+    sets = [np.frombuffer(held, np.uint64 if len(held) == 8 * m else np.uint32) for m, held in (x, y)]
+    if max(n) <= WHOLE:
+        return np.intersect1d(*sets, assume_unique=True).size
+    (a, times), (b, again) = (np.unique(s.astype(np.uint32), return_counts=True) for s in sets)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(times[i], again[j]).sum())
+
+
+def _sets(docs: DataFrame, id: str, text: str, k: int, nodes: DataFrame) -> DataFrame:
+    """(class, n, shingles) for the classes in ``nodes`` (id, class), made once for all rounds.
+
+    Only rows whose id a bit filter lets through are shingled again; any of
+    the rows of a class stands for it.
     """
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    table = sent(docs.sparkSession, bit_filter(wanted, [spot], FILTER_BITS))
+    bits = FILTER_BITS
+    while bits < FILTER_ROOM * nodes.count() and bits < MOST_FILTER_BITS:
+        bits *= 2
+    spot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    table = sent(docs.sparkSession, bit_filter(nodes, [spot], bits))
 
     def cut(batches):
         bits = table()
@@ -157,33 +184,38 @@ def _sets(docs: DataFrame, id: str, text: str, k: int, wanted: DataFrame) -> Dat
             batch = batch.filter(pa.array(passes(bits, batch.column("spot").to_numpy(zero_copy_only=False))))
             for part in slices(batch) if batch.num_rows else ():
                 sets = [shingle_set(t, k) for t in raw(part.column("text"))]
-                columns = [part.column("id"), pa.array(map(_class, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "class", "shingles"])
+                columns = [pa.array(map(_class, sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_stored, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", "shingles"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).withColumn("spot", spot)
-    found = rows.mapInArrow(cut, "id long, class long, shingles binary").alias("f")
-    asked = wanted.alias("w")
-    found = found.join(asked, (F.col("f.class") == F.col("w.class")) & F.col("f.id").eqNullSafe(F.col("w.id")))
-    return found.groupBy("f.class").agg(F.first("shingles").alias("shingles"))
+    found = rows.mapInArrow(cut, "class long, n long, shingles binary").filter("class is not null")
+    return found.groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-
-    def weigh(batches):
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    """The pairs (a, b) of classes whose sets reach the threshold.
 
-    first = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(weigh, "a long, b long")
+    The pairs of one ``b`` are verified together, some ``STAR`` at a time, so
+    that a set moves once for each group that needs it and not for each pair.
+    """
+    pairs = pairs.distinct()
+    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    stars = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.floor(F.col("n") / STAR) + 1).alias("star"), "a")
+    stars = cut_lineage(stars)
+    needed = stars.select("b", "star", F.col("a").alias("class")).union(stars.select("b", "star", "b").distinct())
+
+    def weigh(table: pa.Table) -> pa.Table:
+        hub = table.column("b")[0].as_py()
+        held = dict(zip(table.column("class").to_pylist(), zip(table.column("n").to_pylist(), table.column("shingles").to_pylist())))
+        y = held.pop(hub)
+        linked = []
+        for a, x in held.items():
+            common = _common(x, y)
+            if den * common >= num * (x[0] + y[0] - common):
+                linked.append(a)
+        return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array([hub] * len(linked), pa.int64())})
+
+    return needed.join(sets, "class").groupBy("b", "star").applyInArrow(weigh, "a long, b long")
 
 
 def _apart():
@@ -208,11 +240,35 @@ def jaccard_components(
     verified or already known to be in one component.
 
     Null and empty texts and texts without words have no shingles and stay
-    alone; a text of fewer than ``k`` words is one shingle. Repeated rows are
-    links of similarity 1. A row with a null id takes part; its component is
-    the smallest id that is not null, or null. Other columns are not read.
-    Sets are compared as 64-bit hashes.
+    alone; a text of fewer than ``k`` words is one shingle. A very long text
+    is one set, which a task holds whole. Repeated rows are links of
+    similarity 1. A row with a null id takes part; its component is the
+    smallest id that is not null, or null. Other columns are not read. Sets
+    are compared as hashes (see ``_common``). An empty table gives no rows.
+    """
+    found = keyed_components(docs, id, text, k, num, den)
+    return found.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_components(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are the only one of their group of near copies, or its one with the smallest id.
+
+    Different texts with one id are told apart: of those in one group the one
+    with the smallest hash stays, those in other groups stay beside it. Rows
+    that repeat id and text are one; rows without an id all stay, and so do
+    rows without words. All columns come back, whatever their names.
     """
+    found = keyed_components(docs, id, text, k, num, den).filter("id is not null")
+    key = F.struct("id", "text_hash").alias("key")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("key")).select("key.*")
+    first = first.union(found.filter("root is null").select("id", "text_hash").distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_hash"))
+    kept = rows.filter("id is not null").join(cut_lineage(first), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    return kept.select("row.*").unionByName(docs.filter(F.col(id).isNull()))
+
+
+def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, text_hash, n, root, component_id) for every row; root names the component and is null without words."""
     bands = Bands(num, den)
     rows = cut_lineage(shingled(docs, id, text, k))
     classes = rows.filter("class is not null").groupBy("class").agg(
@@ -224,12 +280,13 @@ def jaccard_components(
     met = cut_lineage(members(docs, text, k, bands, groups))
     nodes = cut_lineage(classes.join(met.select("class").distinct(), "class"))
 
+    sets = cut_lineage(_sets(docs, id, text, k, nodes.select("id", "class")))
+    release(docs.sparkSession)
+
     def verified(pairs):
-        """Only the sets that some pair needs are made again from their texts, and moved."""
-        pairs = cut_lineage(pairs)
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        sets = _sets(docs, id, text, k, cut_lineage(wanted.join(nodes, "class").select("id", "class")))
-        return cut_lineage(_verified(pairs, cut_lineage(sets), num, den))
+        found = cut_lineage(_verified(pairs, sets, num, den))
+        release(docs.sparkSession)
+        return found
 
     sizes = nodes.select("class", "n", "sketch")
     own = sizes.withColumnRenamed("class", "a")
@@ -261,11 +318,10 @@ def jaccard_components(
     roots = _roots(links)
     named = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(lowest, "root").select("class", "component_id")
+    named = named.join(lowest, "root").select("class", "root", "component_id")
+    discard(sets, met)
     return rows.join(named, "class", "left").select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        "id", "text_hash", "n", "root", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
