@@ -33,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that an earlier one has; ``text`` and ``n_chars`` are those of what is left."""
-    kept = dedup_lines(_apart(docs))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    kept = dedup_lines(docs.select("doc_id", "text", others.alias("row")))
     own = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return kept.select(*(own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns))
 
