@@ -54,11 +54,10 @@ def dedup_lines(
     )
     # the caller's columns are one, so that none can clash
     whole = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in (id, text, *taken))).alias("_row"),
+        F.struct(F.col(id).alias("_0"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(taken, 1))).alias("_row"),
         F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("_id"),
         F.xxhash64(F.col(text)).alias("_text_hash"),
         F.col(text).alias("_text"),
-        _lines(F.col(text)).alias("_lines"),
     )
     # what lies between two dropped lines is one slice, so long texts cost no more than their length
     ends = F.concat(F.array(F.lit(-1)), F.col("_dropped"), F.array(F.size("_lines")))
@@ -72,4 +71,6 @@ def dedup_lines(
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    return whole.join(dropped, ["_id", "_text_hash"], "left").select("_row", told.alias("_told")).select("_row.*", "_told.*")
+    found = whole.join(dropped, ["_id", "_text_hash"], "left").select("_row", "_text", "_dropped", _lines(F.col("_text")).alias("_lines"))
+    names = [F.col(f"_row._{i}").alias(c) for i, c in enumerate(taken, 1)]
+    return found.select("_row", "_text", told.alias("_told")).select(F.col("_row._0").alias(id), F.col("_text").alias(text), *names, "_told.*")
