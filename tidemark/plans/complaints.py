@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import clinical_values as values
 from tidemark.functions.text import clean_deid, default_text, expand_abbreviations, prepare_text
 from tidemark.operators import reports
-from tidemark.operators.clustering import density_clusters, reduce_dimensions, text_vectors
+from tidemark.operators.clustering import reduce_dimensions, text_vectors
+from tidemark.operators.density import projected_clusters
 from tidemark.operators.parallel import spread
 from tidemark.operators.relabel import OTHER
 from tidemark.operators.rules import substring_label
@@ -63,7 +64,7 @@ def assign_topics(df: DataFrame, text: str, width: float = 1.0, min_samples: int
     reduced = reduce_dimensions(vectors, "__vector", "__reduced", dimensions).drop("__vector")
     # the rows are read again for cell counts, so the fitted reduction is stored once
     stored = cut_lineage(reduced)
-    return density_clusters(stored, "__reduced", width, min_samples, min_cluster_size, topic).drop("__reduced")
+    return projected_clusters(stored, "__reduced", dimensions, width, min_samples, min_cluster_size, topic).drop("__reduced")
 
 
 def split_largest(df: DataFrame, text: str, key: str, topic: str = "cc_topic", share: float = 0.15, **settings) -> DataFrame:
