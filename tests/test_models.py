@@ -153,3 +153,17 @@ def test_registered_models_run_the_operators_own_settings(monkeypatch):
         "selective_prediction": [(("split",), {})],
         "importance": [(("train", "test", "preparation"), {})],
     }
+
+
+def test_jobs_run_together_and_keep_their_order(spark):
+    import threading
+
+    from tidemark.operators.learners import together
+
+    gate = threading.Barrier(3, timeout=60)  # opens only when all three run
+
+    def count(n):
+        gate.wait()
+        return spark.range(n).count()
+
+    assert together([lambda n=n: count(n) for n in (5, 3, 9)]) == [5, 3, 9] and together([]) == []
