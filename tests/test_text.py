@@ -162,3 +162,15 @@ def test_topics_whose_words_all_fall_to_the_limits(spark):
     assert by_id[5][0] == 1 and by_id[5][2] == 1.0
     listed = topic_keywords(top, topics=df.select(F.col("cc_topic").alias("topic")))
     assert {r.topic: r.keywords for r in listed.collect()}[2] == "general"
+
+
+def test_parts_of_a_split_topic_take_no_id_that_was_merged_away(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.topics import apply_split
+
+    rows = [(i, 0, i % 2) for i in range(6)] + [(6, 1, None), (7, -1, None)]
+    df = spark.createDataFrame(rows, "id int, topic int, sub int")
+    targets = spark.createDataFrame([(0, 6)], "topic int, n long")
+    parts = lambda above: {r["topic"] for r in apply_split(df, "topic", "sub", targets, above).collect()}
+    assert parts(None) == {2, 3, 1, -1} and parts(F.lit(2)) == {3, 4, 1, -1}

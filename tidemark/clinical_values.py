@@ -6,202 +6,186 @@ load them with ``sources.rules.read_rule_groups``.
 """
 
 
-def _pairs(block: str, mark: str) -> list[tuple[str, str]]:
-    return [tuple(part.strip() for part in line.split(mark)) for line in block.strip().splitlines()]
-
-
 # abbreviation = expansion, applied in this order.
-ABBREVIATIONS = _pairs(
-    """
-    cp = chest pain
-    chf = congestive heart failure
-    afib = atrial fibrillation
-    cad = coronary artery disease
-    palps = palpitations
-    sob = shortness of breath
-    doe = dyspnea on exertion
-    copd = chronic obstructive pulmonary disease
-    uri = upper respiratory infection
-    pna = pneumonia
-    pe = pulmonary embolism
-    cough = cough
-    abd = abdominal
-    n/v = nausea and vomiting
-    n/v/d = nausea vomiting and diarrhea
-    gib = gastrointestinal bleed
-    ruq = right upper quadrant
-    luq = left upper quadrant
-    rlq = right lower quadrant
-    llq = left lower quadrant
-    ams = altered mental status
-    h/a = headache
-    ha = headache
-    si = suicidal ideation
-    hi = homicidal ideation
-    sz = seizure
-    cva = cerebrovascular accident
-    tia = transient ischemic attack
-    loc = loss of consciousness
-    od = overdose
-    etoh = alcohol
-    sah = subarachnoid hemorrhage
-    mva = motor vehicle accident
-    mvc = motor vehicle collision
-    glf = ground level fall
-    lle = left lower extremity
-    rle = right lower extremity
-    lue = left upper extremity
-    rue = right upper extremity
-    lbp = low back pain
-    fx = fracture
-    lac = laceration
-    lacs = lacerations
-    htn = hypertension
-    dka = diabetic ketoacidosis
-    uti = urinary tract infection
-    ss = sickle cell
-    fever = fever
-    med = medication
-    meds = medications
-    eval = evaluation
-    c/o = complains of
-    s/p = status post
-    r/o = rule out
-    hx = history
-    h/o = history of
-    f/u = follow up
-    fu = follow up
-    pt = patient
-    """,
-    " = ",
-)
+ABBREVIATIONS = [
+    ("cp", "chest pain"),
+    ("chf", "congestive heart failure"),
+    ("afib", "atrial fibrillation"),
+    ("cad", "coronary artery disease"),
+    ("palps", "palpitations"),
+    ("sob", "shortness of breath"),
+    ("doe", "dyspnea on exertion"),
+    ("copd", "chronic obstructive pulmonary disease"),
+    ("uri", "upper respiratory infection"),
+    ("pna", "pneumonia"),
+    ("pe", "pulmonary embolism"),
+    ("cough", "cough"),
+    ("abd", "abdominal"),
+    ("n/v", "nausea and vomiting"),
+    ("n/v/d", "nausea vomiting and diarrhea"),
+    ("gib", "gastrointestinal bleed"),
+    ("ruq", "right upper quadrant"),
+    ("luq", "left upper quadrant"),
+    ("rlq", "right lower quadrant"),
+    ("llq", "left lower quadrant"),
+    ("ams", "altered mental status"),
+    ("h/a", "headache"),
+    ("ha", "headache"),
+    ("si", "suicidal ideation"),
+    ("hi", "homicidal ideation"),
+    ("sz", "seizure"),
+    ("cva", "cerebrovascular accident"),
+    ("tia", "transient ischemic attack"),
+    ("loc", "loss of consciousness"),
+    ("od", "overdose"),
+    ("etoh", "alcohol"),
+    ("sah", "subarachnoid hemorrhage"),
+    ("mva", "motor vehicle accident"),
+    ("mvc", "motor vehicle collision"),
+    ("glf", "ground level fall"),
+    ("lle", "left lower extremity"),
+    ("rle", "right lower extremity"),
+    ("lue", "left upper extremity"),
+    ("rue", "right upper extremity"),
+    ("lbp", "low back pain"),
+    ("fx", "fracture"),
+    ("lac", "laceration"),
+    ("lacs", "lacerations"),
+    ("htn", "hypertension"),
+    ("dka", "diabetic ketoacidosis"),
+    ("uti", "urinary tract infection"),
+    ("ss", "sickle cell"),
+    ("fever", "fever"),
+    ("med", "medication"),
+    ("meds", "medications"),
+    ("eval", "evaluation"),
+    ("c/o", "complains of"),
+    ("s/p", "status post"),
+    ("r/o", "rule out"),
+    ("hx", "history"),
+    ("h/o", "history of"),
+    ("f/u", "follow up"),
+    ("fu", "follow up"),
+    ("pt", "patient"),
+]
 
 # Whole phrase : label of the row override, first match decides.
-ROW_OVERRIDES = _pairs(
-    """
-    chest pain : Cardiac
-    chest pressure : Cardiac
-    shortness of breath : Respiratory
-    shortness breath : Respiratory
-    breath shortness : Respiratory
-    dyspnea : Respiratory
-    suicidal ideation : Psychiatric/MH
-    homicidal ideation : Psychiatric/MH
-    abdominal pain : GI/Abdominal
-    abd pain : GI/Abdominal
-    back pain : Musculoskeletal
-    headache : Neurological
-    seizure : Neurological
-    stroke : Neurological
-    syncope : Neurological
-    dizziness : Neurological
-    altered mental status : Neurological
-    subdural hematoma : Neurological
-    fall : Trauma/Injury
-    motor vehicle accident : Trauma/Injury
-    gastrointestinal bleeding : GI/Abdominal
-    vaginal bleeding : Genitourinary
-    flank pain : Genitourinary
-    hematuria : Genitourinary
-    urinary tract infection : Genitourinary
-    hyperglycemia : Endocrine/Metabolic
-    hypoglycemia : Endocrine/Metabolic
-    diabetic ketoacidosis : Endocrine/Metabolic
-    anemia : Hematology/Oncology
-    alcohol intoxication : Substance/Tox
-    drug overdose : Substance/Tox
-    fever : Infectious
-    rash : Dermatological
-    allergic reaction : Dermatological
-    """,
-    " : ",
-)
+ROW_OVERRIDES = [
+    ("chest pain", "Cardiac"),
+    ("chest pressure", "Cardiac"),
+    ("shortness of breath", "Respiratory"),
+    ("shortness breath", "Respiratory"),
+    ("breath shortness", "Respiratory"),
+    ("dyspnea", "Respiratory"),
+    ("suicidal ideation", "Psychiatric/MH"),
+    ("homicidal ideation", "Psychiatric/MH"),
+    ("abdominal pain", "GI/Abdominal"),
+    ("abd pain", "GI/Abdominal"),
+    ("back pain", "Musculoskeletal"),
+    ("headache", "Neurological"),
+    ("seizure", "Neurological"),
+    ("stroke", "Neurological"),
+    ("syncope", "Neurological"),
+    ("dizziness", "Neurological"),
+    ("altered mental status", "Neurological"),
+    ("subdural hematoma", "Neurological"),
+    ("fall", "Trauma/Injury"),
+    ("motor vehicle accident", "Trauma/Injury"),
+    ("gastrointestinal bleeding", "GI/Abdominal"),
+    ("vaginal bleeding", "Genitourinary"),
+    ("flank pain", "Genitourinary"),
+    ("hematuria", "Genitourinary"),
+    ("urinary tract infection", "Genitourinary"),
+    ("hyperglycemia", "Endocrine/Metabolic"),
+    ("hypoglycemia", "Endocrine/Metabolic"),
+    ("diabetic ketoacidosis", "Endocrine/Metabolic"),
+    ("anemia", "Hematology/Oncology"),
+    ("alcohol intoxication", "Substance/Tox"),
+    ("drug overdose", "Substance/Tox"),
+    ("fever", "Infectious"),
+    ("rash", "Dermatological"),
+    ("allergic reaction", "Dermatological"),
+]
 
 # Whole phrase : label used while sweeping cluster settings.
-SWEEP_OVERRIDES = _pairs(
-    """
-    chest pain : Cardiac
-    chest pressure : Cardiac
-    palpitation : Cardiac
-    tachycardia : Cardiac
-    shortness of breath : Respiratory
-    shortness breath : Respiratory
-    breath shortness : Respiratory
-    dyspnea : Respiratory
-    suicidal ideation : Psychiatric/MH
-    homicidal ideation : Psychiatric/MH
-    abdominal pain : GI/Abdominal
-    abd pain : GI/Abdominal
-    nausea : GI/Abdominal
-    vomiting : GI/Abdominal
-    diarrhea : GI/Abdominal
-    back pain : Musculoskeletal
-    neck pain : Musculoskeletal
-    knee pain : Musculoskeletal
-    shoulder pain : Musculoskeletal
-    leg pain : Musculoskeletal
-    arm pain : Musculoskeletal
-    hip pain : Musculoskeletal
-    headache : Neurological
-    seizure : Neurological
-    stroke : Neurological
-    syncope : Neurological
-    dizziness : Neurological
-    altered mental status : Neurological
-    subdural hematoma : Neurological
-    weakness : Neurological
-    numbness : Neurological
-    fall : Trauma/Injury
-    motor vehicle accident : Trauma/Injury
-    laceration : Trauma/Injury
-    fracture : Trauma/Injury
-    head injury : Trauma/Injury
-    assault : Trauma/Injury
-    burn : Trauma/Injury
-    gastrointestinal bleeding : GI/Abdominal
-    vaginal bleeding : Genitourinary
-    flank pain : Genitourinary
-    hematuria : Genitourinary
-    urinary tract infection : Genitourinary
-    pelvic pain : Genitourinary
-    testicular : Genitourinary
-    dysuria : Genitourinary
-    hyperglycemia : Endocrine/Metabolic
-    hypoglycemia : Endocrine/Metabolic
-    diabetic ketoacidosis : Endocrine/Metabolic
-    anemia : Hematology/Oncology
-    alcohol intoxication : Substance/Tox
-    drug overdose : Substance/Tox
-    overdose : Substance/Tox
-    fever : Infectious
-    sepsis : Infectious
-    cellulitis : Infectious
-    abscess : Infectious
-    rash : Dermatological
-    allergic reaction : Dermatological
-    eye pain : ENT/Eye
-    ear pain : ENT/Eye
-    sore throat : ENT/Eye
-    epistaxis : ENT/Eye
-    dental : ENT/Eye
-    """,
-    " : ",
-)
+SWEEP_OVERRIDES = [
+    ("chest pain", "Cardiac"),
+    ("chest pressure", "Cardiac"),
+    ("palpitation", "Cardiac"),
+    ("tachycardia", "Cardiac"),
+    ("shortness of breath", "Respiratory"),
+    ("shortness breath", "Respiratory"),
+    ("breath shortness", "Respiratory"),
+    ("dyspnea", "Respiratory"),
+    ("suicidal ideation", "Psychiatric/MH"),
+    ("homicidal ideation", "Psychiatric/MH"),
+    ("abdominal pain", "GI/Abdominal"),
+    ("abd pain", "GI/Abdominal"),
+    ("nausea", "GI/Abdominal"),
+    ("vomiting", "GI/Abdominal"),
+    ("diarrhea", "GI/Abdominal"),
+    ("back pain", "Musculoskeletal"),
+    ("neck pain", "Musculoskeletal"),
+    ("knee pain", "Musculoskeletal"),
+    ("shoulder pain", "Musculoskeletal"),
+    ("leg pain", "Musculoskeletal"),
+    ("arm pain", "Musculoskeletal"),
+    ("hip pain", "Musculoskeletal"),
+    ("headache", "Neurological"),
+    ("seizure", "Neurological"),
+    ("stroke", "Neurological"),
+    ("syncope", "Neurological"),
+    ("dizziness", "Neurological"),
+    ("altered mental status", "Neurological"),
+    ("subdural hematoma", "Neurological"),
+    ("weakness", "Neurological"),
+    ("numbness", "Neurological"),
+    ("fall", "Trauma/Injury"),
+    ("motor vehicle accident", "Trauma/Injury"),
+    ("laceration", "Trauma/Injury"),
+    ("fracture", "Trauma/Injury"),
+    ("head injury", "Trauma/Injury"),
+    ("assault", "Trauma/Injury"),
+    ("burn", "Trauma/Injury"),
+    ("gastrointestinal bleeding", "GI/Abdominal"),
+    ("vaginal bleeding", "Genitourinary"),
+    ("flank pain", "Genitourinary"),
+    ("hematuria", "Genitourinary"),
+    ("urinary tract infection", "Genitourinary"),
+    ("pelvic pain", "Genitourinary"),
+    ("testicular", "Genitourinary"),
+    ("dysuria", "Genitourinary"),
+    ("hyperglycemia", "Endocrine/Metabolic"),
+    ("hypoglycemia", "Endocrine/Metabolic"),
+    ("diabetic ketoacidosis", "Endocrine/Metabolic"),
+    ("anemia", "Hematology/Oncology"),
+    ("alcohol intoxication", "Substance/Tox"),
+    ("drug overdose", "Substance/Tox"),
+    ("overdose", "Substance/Tox"),
+    ("fever", "Infectious"),
+    ("sepsis", "Infectious"),
+    ("cellulitis", "Infectious"),
+    ("abscess", "Infectious"),
+    ("rash", "Dermatological"),
+    ("allergic reaction", "Dermatological"),
+    ("eye pain", "ENT/Eye"),
+    ("ear pain", "ENT/Eye"),
+    ("sore throat", "ENT/Eye"),
+    ("epistaxis", "ENT/Eye"),
+    ("dental", "ENT/Eye"),
+]
 
 # Expected label per phrase in the relabelling report.
-EXPECTED_FIXES = _pairs(
-    """
-    chest pain : Cardiac
-    dyspnea : Respiratory
-    suicidal ideation : Psychiatric/MH
-    abdominal pain : GI/Abdominal
-    fall : Trauma/Injury
-    dizziness : Neurological
-    hyperglycemia : Endocrine/Metabolic
-    anemia : Hematology/Oncology
-    """,
-    " : ",
-)
+EXPECTED_FIXES = [
+    ("chest pain", "Cardiac"),
+    ("dyspnea", "Respiratory"),
+    ("suicidal ideation", "Psychiatric/MH"),
+    ("abdominal pain", "GI/Abdominal"),
+    ("fall", "Trauma/Injury"),
+    ("dizziness", "Neurological"),
+    ("hyperglycemia", "Endocrine/Metabolic"),
+    ("anemia", "Hematology/Oncology"),
+]
 
 # Subgroups that make up the cohort.
 COHORT_SUBGROUPS = [

@@ -205,11 +205,13 @@ def oversized_topics(df: DataFrame, topic: str, share: float = 0.15, most: int =
     return largest.withColumn("share", F.col("n") / total).filter(F.col("share") >= share)
 
 
-def apply_split(df: DataFrame, topic: str, sub_topic: str, targets: DataFrame) -> DataFrame:
+def apply_split(df: DataFrame, topic: str, sub_topic: str, targets: DataFrame, above: Column | None = None) -> DataFrame:
     """Give the sub-topics of split topics new ids.
 
     The first target's sub-topics start at the highest id + 1, the next
     target's after those; sub-topic -1 becomes noise. ``targets``: topic, n.
+    ``above`` is the highest id there was before topics were merged, so that
+    no part takes the id of a topic that was merged away.
     """
     wanted = targets.select(F.col("topic").alias("__t"), F.col("n").alias("__n"))
     # at most as many rows as topics were asked to be split
@@ -220,6 +222,8 @@ def apply_split(df: DataFrame, topic: str, sub_topic: str, targets: DataFrame) -
     )
     earlier = W.partitionBy().orderBy(F.col("__n").desc(), "__t").rowsBetween(W.unboundedPreceding, -1)
     highest = df.agg(F.max(topic).alias("m")).scalar()
+    if above is not None:
+        highest = F.greatest(highest, above)
     starts = used.withColumn(
         "__start", highest + 1 + F.coalesce(F.sum(F.col("__top") + 1).over(earlier), F.lit(0))
     ).select("__t", "__start")

@@ -1,7 +1,7 @@
 """Free text to labelled topics."""
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import clinical_values as values
@@ -67,8 +67,9 @@ def assign_topics(df: DataFrame, text: str, width: float = 1.0, min_samples: int
     return projected_clusters(stored, "__reduced", dimensions, width, min_samples, min_cluster_size, topic).drop("__reduced")
 
 
-def split_largest(df: DataFrame, text: str, key: str, topic: str = "cc_topic", share: float = 0.15, **settings) -> DataFrame:
-    """Cluster the texts of oversized topics again, topic by topic (at most three)."""
+def split_largest(df: DataFrame, text: str, key: str, topic: str = "cc_topic", share: float = 0.15, above: Column | None = None,
+                  **settings) -> DataFrame:
+    """Cluster the texts of oversized topics again, topic by topic (at most three); new ids lie above ``above``."""
     targets = cut_lineage(oversized_topics(df, topic, share))
     inner = {"min_samples": 5, "min_cluster_size": 200, "dimensions": 8, **settings}
     subs = None
@@ -78,7 +79,7 @@ def split_largest(df: DataFrame, text: str, key: str, topic: str = "cc_topic", s
         subs = found if subs is None else subs.unionByName(found)
     if subs is None:
         return df
-    return apply_split(df.join(subs, key, "left"), topic, "sub_topic", targets).drop("sub_topic")
+    return apply_split(df.join(subs, key, "left"), topic, "sub_topic", targets, above).drop("sub_topic")
 
 
 def label_topics(df: DataFrame, text: str, topic: str = "cc_topic", groups=(), stop=None, min_topics: int = 5,
@@ -99,7 +100,7 @@ def label_topics(df: DataFrame, text: str, topic: str = "cc_topic", groups=(), s
     mapping = merge_map(topic_word_sets(top, topics=sizes), sizes, transitive=transitive)
     merged = apply_merge(df, mapping, topic)
     if split is not None:
-        merged = split_largest(cut_lineage(merged), text, key, topic, **split)
+        merged = split_largest(cut_lineage(merged), text, key, topic, above=df.agg(F.max(topic).alias("m")).scalar(), **split)
     if vectors is not None:
         scores = word_heterogeneity(top, vectors).select(F.col("topic").alias(topic), F.col("heterogeneity").alias("cc_heterogeneity"))
         merged = merged.join(scores, topic, "left")
