@@ -91,6 +91,20 @@ def test_first_in_window_matches_brute_force(spark):
             assert (r[name].tie if r[name] else None) == (hits[0][1] if hits else None)
 
 
+def test_events_far_from_every_anchor_are_left_out_before_they_are_sorted(spark):
+    """The semi join on the cells of the anchors stands below the windows, and null keys and times stay out."""
+    events = labs(spark, [(1, T0, 1, "a", 1.0), (1, T0 + timedelta(days=9), 2, "a", 2.0), (None, T0, 3, "a", 3.0), (1, None, 4, "a", 4.0)])
+    anchors = stays(spark, [(10, 1, T0), (11, None, T0), (12, 1, None), (13, 1, T0 + timedelta(days=9, hours=5))])
+    args = ("stay_id", "subject_id", "ed_intime", "charttime")
+    found = first_in_window(anchors, events, *args, "tie", "cat", ["a"], 900, 7200, "v")
+    assert {r.stay_id: r.c0 and r.c0.tie for r in found.collect()} == {10: 1, 11: None, 12: None, 13: None}
+    extremes = window_extremes(anchors, events, *args, 900, {"a": 1800, "b": 7200}, {"lo": F.col("v")}, {"hi": F.col("v")})
+    assert sorted((r.stay_id, r.time_window, r.lo, r.n_events) for r in extremes.collect()) == [(10, "a", 1.0, 1), (10, "b", 1.0, 1)]
+    for df in (found, extremes):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("LeftSemi") > plan.rindex("Window ")
+
+
 def test_plans_have_no_pairing_of_anchors_and_events(spark):
     """The first-value job neither joins events to anchors nor uses a nested loop."""
     df = encounters.first_labs(

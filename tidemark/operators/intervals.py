@@ -23,6 +23,17 @@ def _chunk(ts: Column, width: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(width)).cast("long")
 
 
+def _near(events: DataFrame, anchors: DataFrame, key: str, start: Column, end: Column, width: int) -> DataFrame:
+    """Rows of ``events`` (key, chunk, ..) in a chunk that some anchor's window touches.
+
+    A small cohort thus leaves only its own events to sort. Where the anchors
+    are a small table Spark broadcasts these cells and no event moves for it.
+    """
+    touched = F.explode(F.sequence(_chunk(start, width), _chunk(end, width)))
+    cells = anchors.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), touched.alias("chunk"))
+    return events.join(cells, ["key", "chunk"], "left_semi")
+
+
 def interval_join(
     anchors: DataFrame,
     events: DataFrame,
@@ -101,6 +112,7 @@ def first_in_window(
         F.col(anchor_id).cast("long").alias("id"),
         end.alias("until"),
     ).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
+    seen = _near(seen, anchors, key, start, end, width)
     # Newest first: the last event read before an anchor is the next one in time.
     # At equal times events are read before the anchor (closed bound) and the
     # smallest (tie, value) is read last.
@@ -179,17 +191,21 @@ def window_extremes(
     def per_window(build):
         return F.explode(F.array(*[build(label, secs) for label, secs in labels]))
 
+    start = F.col(anchor_time) - seconds(lower)
+    longest = max(windows.values())
+    width = lower + longest
+    timed = events.filter(F.col(event_time).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"),
+        _chunk(F.col(event_time), width).alias("chunk"),
+        F.col(event_time).alias("at"),
+        *[c.cast("double").alias(n) for n, (_, c) in outputs.items()],
+    )
     seen = (
-        events.filter(F.col(event_time).isNotNull() & F.col(key).isNotNull())
-        .select(
-            F.col(key).alias("key"),
-            F.col(event_time).alias("at"),
-            *[c.cast("double").alias(n) for n, (_, c) in outputs.items()],
-        )
-        .groupBy("key", "at")
+        _near(timed, anchors, key, start, F.col(anchor_time) + seconds(longest), width)
+        .groupBy("key", "chunk", "at")
         .agg(F.count("*").alias("hits"), *[getattr(F, kind)(n).alias(n) for n, (kind, _) in outputs.items()])
         .select(
-            "*",
+            "key", "at", "hits", *outputs,
             per_window(
                 lambda label, secs: F.struct(
                     F.lit(label).alias("time_window"), _chunk(F.col("at"), lower + secs).alias("chunk")
@@ -199,7 +215,6 @@ def window_extremes(
         .select("key", "w.*", "at", F.lit("event").alias("kind"), F.lit(None).cast("long").alias("id"),
                 "hits", *outputs)
     )
-    start = F.col(anchor_time) - seconds(lower)
     probes = (
         anchors.select(
             F.col(key).alias("key"),

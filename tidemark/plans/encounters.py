@@ -17,6 +17,7 @@ from tidemark.operators.intervals import (
 )
 from tidemark.operators.joins import lookup_left
 from tidemark.operators.rules import like_ladder
+from tidemark.session import cut_lineage
 
 FLAGS = ["icu_24h", "vent_24h", "pressor_24h", "death_hosp"]
 
@@ -174,9 +175,13 @@ def finalize(master: DataFrame, outcome: DataFrame, caps=values.OUTLIER_CAPS) ->
 def analysis_tables(tables: dict[str, DataFrame], subgroups=values.COHORT_SUBGROUPS, windows=values.WINDOW_HOURS,
                     categories=values.LAB_CATEGORIES, vent_items=values.VENTILATION_ITEMS,
                     pressor_items=values.PRESSOR_ITEMS, vital_key: str = "stay_id") -> DataFrame:
-    """The whole way from source tables to one analysis row per stay and window."""
-    base = cohort_labels(
-        cohort(tables["edstays"], tables["patients"], tables["topics"], subgroups), tables["admissions"]
+    """The whole way from source tables to one analysis row per stay and window.
+
+    The labelled cohort is stored once: seven steps start from it, and its known
+    size decides how each of them joins.
+    """
+    base = cut_lineage(
+        cohort_labels(cohort(tables["edstays"], tables["patients"], tables["topics"], subgroups), tables["admissions"])
     )
     labs = known_labs(tables["labevents"], tables["d_labitems"], categories)
     master = masters(
