@@ -240,6 +240,19 @@ def test_quality_rules(odd, none, spark):
     assert not any(got[i] for i in range(300, 310)) and sum(got[i] for i in range(300)) >= 297
 
 
+def test_a_few_texts_of_a_rare_language_are_judged_by_all(spark):
+    r = random.Random(18)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(20, 200))) for _ in range(360)]
+    bad = set(range(355, 360))
+    rows = [(i, t.replace(" ", "### ") if i in bad else t, "en" if i < 300 else None, "a") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in outliers.quality_rules(docs).collect()}
+    assert all(got[i]["distance"] is not None for i in got) and not any(got[i]["kept"] for i in bad)
+    assert sum(got[i]["kept"] for i in got if i not in bad) >= 350
+    few = outliers.quality_rules(docs.filter("lang is null")).collect()
+    assert len(few) == 60 and all(x["distance"] is None and x["kept"] for x in few)
+
+
 def test_text_counts_by_brute_force():
     r = random.Random(9)
     for _ in range(200):

@@ -135,7 +135,7 @@ def _inner(bins: DataFrame, chosen: Column) -> DataFrame:
 
 def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
     """(group, mean, inverse, scale): reweighted minimum covariance determinant of each group of ``rows`` (group, x0..)."""
-    middle = rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"c{i}") for i in range(SIZE)])
+    middle = cut_lineage(rows.groupBy("group").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"c{i}") for i in range(SIZE)]))
     off = rows.join(middle, "group").select("group", *[F.abs(F.col(f"x{i}") - F.col(f"c{i}")).alias(f"d{i}") for i in range(SIZE)])
     off = off.groupBy("group").agg(*[F.percentile_approx(f"d{i}", 0.5).alias(f"s{i}") for i in range(SIZE)])
     weight = [1 / (F.pow(F.col(f"s{i}") * 1.4826, 2) + LEAST[i] ** 2) for i in range(SIZE)]
@@ -174,15 +174,16 @@ def quality_rules(
     ``max_repeat_percent`` of the words in repeated five-word windows. The
     other rows give the estimates: of their own language and source if that
     group has ``min_rows`` of them, else of all such small groups of the
-    language, else of all that are left. ``distance`` is the squared
+    language, else of all that are left; if these are under ``min_rows`` too,
+    they are judged by the estimate of the whole corpus. ``distance`` is the squared
     Mahalanobis distance, scaled to the median of chi-squared; a row with more
     than ``cutoff`` is not kept. The default is far out in the tail, for texts
     are not normally distributed and clean ones are to stay.
 
     Null and empty texts have no words and fail. Null languages and sources are
-    values of their own. If even the last group is too small, its rows have a
-    null distance and are kept. Repeated rows count each by itself; other
-    columns are not read.
+    values of their own. Where the whole corpus has under ``min_rows`` rows to
+    learn from, distances are null and rows are kept. Very long texts count
+    whole. Repeated rows count each by itself; other columns are not read.
     """
     counted = _counted(docs, id, text, list(group))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -198,9 +199,16 @@ def quality_rules(
         .alias("group"),
         "n",
     )
-    rest = F.sum(F.when(F.col("group") == "rest", F.col("n"))).over(Window.partitionBy())
-    named = cut_lineage(named.withColumn("rest", rest).filter((F.col("group") != "rest") | (F.col("rest") >= min_rows)).select("own", "group"))
-    rows = cut_lineage(counted.filter("not base_failed").join(named, "own").select("_id", "group", *[f"x{i}" for i in range(SIZE)]))
+    named = cut_lineage(named)
+    left_over, in_all = named.agg(F.sum(F.when(F.col("group") == "rest", F.col("n"))), F.sum("n")).first()
+    named = named.drop("n")
+    good = counted.filter("not base_failed").select("_id", "own", *[f"x{i}" for i in range(SIZE)])
+    rows = good.join(named, "own").drop("own")
+    if 0 < (left_over or 0) < min_rows:
+        rows = rows.filter("group != 'rest'")
+        if in_all >= min_rows:  # what is left is too little by itself
+            rows = rows.unionByName(good.drop("own").withColumn("group", F.lit("rest")))
+    rows = cut_lineage(rows)
     estimates = cut_lineage(robust_estimates(rows))
     judged = counted.join(named, "own", "left").join(estimates, "group", "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _squared_distance() / F.col("scale")))
