@@ -265,6 +265,17 @@ def test_text_counts_by_brute_force():
         assert outliers.text_counts(text.encode()) == want
 
 
+def test_many_languages(spark):
+    """More languages than a task counts at a time, each with an alphabet of its own."""
+    r = random.Random(19)
+    own = [[chr(0x4E00 + 20 * k + j) for j in range(20)] for k in range(langid.AT_ONCE + 16)]
+    rows = [(f"l{k:03d}", " ".join("".join(r.choice(a) for _ in range(3)) for _ in range(30))) for k, a in enumerate(own) for _ in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    asked = docs.select(F.col("lang").alias("known"), "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("url"))
+    got = langid.identify(asked, docs).collect()
+    assert len(got) == len(rows) and all(x["lang"] == x["known"] for x in got)
+
+
 def test_languages(spark, odd, none, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = odd.select("doc_id", "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("url"))

@@ -17,7 +17,8 @@ from tidemark.llm.words import raw, slices
 from tidemark.session import cut_lineage
 
 CODES = 1 << 16
-MOST_LANGUAGES = 64
+MOST_LANGUAGES = 2048  # what the model may grow to; about 60 kB each when sent to tasks
+AT_ONCE = 64  # languages whose counts a task or the driver holds side by side
 
 
 def trigram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +41,12 @@ def trigram_counts(labelled: DataFrame, label: str, text: str) -> DataFrame:
                 for name in set(labels):
                     codes, _ = trigram_codes([t for t, own in zip(texts, labels) if own == name])
                     seen[name] = seen.get(name, 0) + np.bincount(codes, minlength=CODES)
-                    if len(seen) > MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+                    if len(seen) > AT_ONCE:
+                        yield from told(seen)
+                        seen = {}
+        yield from told(seen)
+
+    def told(seen):
         for name, counts in seen.items():
             codes = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -53,17 +58,27 @@ def trigram_counts(labelled: DataFrame, label: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "label string, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
 
 
-def read_likelihoods(counts: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods by language and code; at most ``MOST_LANGUAGES * CODES`` numbers."""
+def read_likelihoods(counts: DataFrame, smooth: float = 0.5) -> tuple[list[str], list[tuple]]:
+    """Languages in order, and for each its seen codes, their log likelihoods and that of any other code."""
     counts = cut_lineage(counts)
     languages = [r[0] for r in counts.select("label").distinct().orderBy("label").limit(MOST_LANGUAGES + 1).collect()]
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.zeros((len(languages), CODES))
-    for k, name in enumerate(languages):
-        own = counts.filter(F.col("label") == name).select("code", "n").toPandas()
-        table[k, own["code"]] = own["n"]
-    return languages, np.log((table + smooth) / (table.sum(1, keepdims=True) + smooth * CODES)).astype(np.float32)
+    sparse = {}
+    for k in range(0, len(languages), AT_ONCE):
+        some = counts.filter(F.col("label").isin(languages[k : k + AT_ONCE])).toPandas()
+        for name, own in some.groupby("label"):
+            n = own["n"].to_numpy(np.float64)
+            total = n.sum() + smooth * CODES
+            known = np.log((n + smooth) / total).astype(np.float32)
+            sparse[name] = own["code"].to_numpy(np.uint16), known, np.float32(np.log(smooth / total))
+    return languages, [sparse[name] for name in languages]
+
+
+def _dense(codes: np.ndarray, known: np.ndarray, other: np.float32) -> np.ndarray:
+    out = np.full(CODES, other, np.float64)
+    out[codes] = known
+    return out
 
 
 def _softmax(logs: np.ndarray) -> np.ndarray:
@@ -71,7 +86,7 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def text_evidence(rows: DataFrame, likelihoods: np.ndarray, temper: float) -> DataFrame:
+def text_evidence(rows: DataFrame, likelihoods: list[tuple], temper: float) -> DataFrame:
     """``rows`` without ``text``, with ``said`` (tempered log likelihoods) and ``r`` (their posterior)."""
     model = sent(rows.sparkSession, likelihoods)
     others = [c for c in rows.columns if c != "text"]
@@ -81,7 +96,7 @@ def text_evidence(rows: DataFrame, likelihoods: np.ndarray, temper: float) -> Da
         for batch in batches:
             for part in slices(batch):
                 codes, starts = trigram_codes(raw(part.column("text")))
-                said = np.stack([np.add.reduceat(own[codes].astype(np.float64), starts) for own in table], 1) * temper
+                said = np.stack([np.add.reduceat(_dense(*own)[codes], starts) for own in table], 1) * temper
                 said -= said.max(1, keepdims=True)
                 kinds = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays(
@@ -164,7 +179,8 @@ def identify(rows: DataFrame, labelled: DataFrame, label: str = "lang", text: st
     Null and empty texts say nothing, null declarations and addresses neither.
     Ties go to the first language in alphabetical order. Rows that repeat are
     judged each by itself. Without labelled rows, language and probability are
-    null. Key columns must not be named as the columns above.
+    null. Very long texts count whole. Up to ``MOST_LANGUAGES`` languages; more
+    are an error. Key columns must not be named as the columns above.
     """
     languages, likelihoods = read_likelihoods(trigram_counts(labelled, label, text))
     keys = [c for c in rows.columns if c not in ("text", "declared", "url", "host")]
