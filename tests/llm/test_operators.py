@@ -322,6 +322,20 @@ def test_chat_folds_and_renders(spark):
     assert chat.read_back(rendered).count() == 2 and chat.read_back(chat.render(chat.fold_events(events.limit(0)))).count() == 0
 
 
+def test_chat_logs_with_detours_fold_into_the_turns(spark):
+    """Edited, regenerated and deleted messages leave no trace; odd rows have their place."""
+    r = random.Random(21)
+    rows = [(c, n, r.choice(["user", "assistant"]), "".join(r.choice("ab <|é\n") for _ in range(r.randrange(900)))) for c in range(40) for n in range(6)]
+    rows += [(100, 0, "user", None), (100, 1, None, ""), (100, 2, "user", "x"), (100, 2, "user", "x"), (100, 2, "user", "w" * 300_000), (None, None, "user", "n")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"at": F.lit(1), "way": F.lit("w"), "copy": F.lit(2)})
+    events = chat.as_events(turns)
+    assert {x["kind"] for x in events.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate", "delete"}
+    got = sorted((x["conv_id"] or -1, x["message"]["turn"] or -1, x["role"], x["text"]) for x in chat.fold_events(events).collect())
+    assert got == sorted((c or -1, n or -1, role or "", text or "") for c, n, role, text in rows)
+    assert chat.read_back(chat.render(chat.fold_events(chat.as_events(turns.limit(0))))).count() == 0
+
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|im_end|>", "<<||", "a<", "\\n\n", "<|im_start|>x\ny"])
 def test_escapes_are_reversible(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")), chat.escape_role(F.col("t"))).first()

@@ -119,21 +119,45 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame, chunk: int = 200) -> DataFrame:
-    """The log of a table of turns (conv_id, turn, role, text): every turn is opened and streamed in pieces.
+    """A log that folds into a table of turns (conv_id, turn, role, text).
+
+    Every turn is opened and streamed in pieces. As in the log of a live
+    service, some take a detour, by a hash of conversation and turn: a wrong
+    text that is edited; a first answer, and a message in reply to it, that a
+    regeneration voids; a message behind the turn that is deleted.
 
     Turns that repeat a number are messages of their own, in the order of role
-    and text.
+    and text. Null texts are empty and only opened; null conversations, numbers
+    and roles are values. Very long texts are many events. Other columns are
+    not read.
     """
     tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.struct("turn", F.row_number().over(tie).alias("copy")))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.char_length("text") + chunk - 1) / chunk).cast("int")),
-        lambda i: F.struct(
-            F.when(i == 0, "open").otherwise("delta").alias("kind"),
-            F.when(i > 0, F.substr("text", (i - 1) * chunk + 1, F.lit(chunk))).alias("text"),
-        ),
-    )
-    rows = rows.select("conv_id", "message", "role", F.posexplode(pieces).alias("at", "e"))
-    seq = F.struct(F.col("message.turn"), F.col("message.copy"), F.col("at"))
-    return rows.select("conv_id", seq.alias("seq"), "e.kind", "message", F.when(F.col("at") == 0, F.col("role")).alias("role"), "e.text")
+    rows = rows.withColumns({"copy": F.row_number().over(tie), "way": F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))})
+
+    def event(kind: str, text=None, role=None, branch: int = 0) -> Column:
+        text, role = (F.lit(None).cast("string") if x is None else x for x in (text, role))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(branch).alias("branch"), role.alias("role"), text.alias("text"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.char_length("text") + chunk - 1) / chunk).cast("int"))
+    streamed = F.transform(F.filter(numbers, lambda i: i > 0), lambda i: event("delta", F.substr("text", (i - 1) * chunk + 1, F.lit(chunk))))
+    opened, user = event("open", role=F.col("role")), F.lit("user")
+    wrong = F.reverse(F.substr("text", F.lit(1), F.lit(chunk)))
+    log = (
+        F.when(F.col("way") == 1, F.concat(F.array(opened, event("delta", wrong), event("edit")), streamed))
+        .when(
+            F.col("way") == 2,
+            F.concat(
+                F.array(opened), streamed, F.array(event("open", role=user, branch=1), event("delta", F.lit("Again?"), branch=1), event("regenerate")),
+                streamed,
+            ),
+        )
+        .when(
+            F.col("way") == 3,
+            F.concat(F.array(opened), streamed, F.array(event("open", wrong, user, branch=1), event("delete", branch=1))),
+        )
+        .otherwise(F.concat(F.array(opened), streamed))
+    )
+    rows = rows.select("conv_id", "turn", "copy", F.posexplode(log).alias("at", "e"))
+    seq, message = F.struct("turn", "copy", "at"), F.struct("turn", "copy", "e.branch")
+    return rows.select("conv_id", seq.alias("seq"), "e.kind", message.alias("message"), "e.role", "e.text")
