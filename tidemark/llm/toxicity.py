@@ -22,7 +22,7 @@ from tidemark.llm.words import raw, slices
 WORDS, GRAMS = 1 << 17, 1 << 13  # rows of the embeddings
 WIDTH, HIDDEN = 8, 8
 KNOWN = 5  # training texts that a word must be in to have an embedding of its own
-LENGTH, STRIDE = 24, 18  # words of a window, and from one window to the next
+LENGTH, STRIDE = 24, 12  # words of a window, and from one window to the next: each word is in two windows
 EDGES = b".,;:!?\"'()[]{}<>|%&$#*-_/"
 REMEMBERED = 150_000  # words whose inputs a task remembers
 AT_ONCE = 2048  # windows
@@ -133,16 +133,16 @@ def window_values(net: dict, parts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_starts(words: int) -> np.ndarray:
-    """Windows begin every ``STRIDE`` words; the last ends with the text."""
+def window_starts(words: int, stride: int = STRIDE) -> np.ndarray:
+    """Windows begin every ``stride`` words; the last ends with the text."""
     last = max(0, words - LENGTH)
-    return np.unique(np.append(np.arange(0, last, STRIDE), last))
+    return np.unique(np.append(np.arange(0, last, stride), last))
 
 
-def windows(rows: np.ndarray) -> np.ndarray:
+def windows(rows: np.ndarray, stride: int = STRIDE) -> np.ndarray:
     """(window, time) for one text's words; a short text is one window filled with -1."""
     padded = np.append(rows, np.full(max(0, LENGTH - len(rows)), -1, rows.dtype))
-    return padded[window_starts(len(rows))[:, None] + np.arange(LENGTH)]
+    return padded[window_starts(len(rows), stride)[:, None] + np.arange(LENGTH)]
 
 
 def _summed(keys: np.ndarray, values: np.ndarray):
@@ -220,7 +220,7 @@ def _kinds_of_text(texts: list[np.ndarray], v: Vocabulary, rng, most: int = 6, t
     return kind
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 4, seed: int = 7) -> dict:
+def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 4, seed: int = 7, stride: int = STRIDE) -> dict:
     """A network from labelled texts. Which window made a text toxic is not known: at first the one with the
     words that tell most in texts of its spelling, later the one that the network finds worst; of the other
     texts these and a random one."""
@@ -242,7 +242,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 4,
     net["trained"] = np.bincount(np.concatenate(by_row), minlength=WORDS) >= KNOWN
     telling = _odds(by_row, labels, WORDS)
     net["words"][:, 0] = telling / 2
-    cut = [windows(r) for r in rows]
+    cut = [windows(r, stride) for r in rows]
     owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
     every = np.concatenate(cut)
     kind, value = _kinds_of_text(rows, v, rng), np.zeros(len(every), np.float32)
@@ -266,7 +266,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, epochs: int = 4,
     value = window_values(net, _parts(net, v), every)
     peak = np.full(len(cut), -np.inf)
     np.maximum.at(peak, owner, value)
-    net["scale"] = _calibrate(peak, labels)
+    net["scale"], net["stride"] = _calibrate(peak, labels), stride
     return net
 
 
@@ -305,7 +305,7 @@ class Scorer:
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.parts = np.concatenate([self.parts[:-1], _parts(self.net, vocabulary(new))])
-        cut = [windows(np.fromiter(map(self.number.__getitem__, t), np.int64, len(t))) for t in split]
+        cut = [windows(np.fromiter(map(self.number.__getitem__, t), np.int64, len(t)), self.net["stride"]) for t in split]
         value = window_values(self.net, self.parts, np.concatenate(cut))
         starts = np.cumsum([0, *map(len, cut[:-1])])
         slope, shift = self.net["scale"]
@@ -337,12 +337,15 @@ def score_toxicity(
     label: str = "toxic",
     sample: int = 5000,
     sample_chars: int = 50_000,
+    stride: int = STRIDE,
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5) in place of equally named columns.
 
     The network is fitted on at most ``sample`` labelled texts of up to
     ``sample_chars`` characters whose id is not held out; only the text of a
-    row enters its score. All windows of all texts are scored.
+    row enters its score. All windows of all texts are scored: they begin every
+    ``stride`` words (in the fit too) and the last one ends with the text. A
+    very long text is many windows, scored ``AT_ONCE`` at a time.
 
     Null and empty texts are one window without words. Of several labels of
     one id the largest counts, null labels and ids are no labels. Repeated rows
@@ -357,7 +360,7 @@ def score_toxicity(
     rows = docs.select(*taken)
     if share in (0, 1):
         return rows.withColumns({"held_out": flag, "score": F.lit(float(share)), "predicted": F.lit(int(share))})
-    net = sent(spark, fit([t for t, _ in known], [y for _, y in known]))
+    net = sent(spark, fit([t for t, _ in known], [y for _, y in known], stride=stride))
 
     def run(batches):
         scorer = Scorer(net())
