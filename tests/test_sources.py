@@ -1,6 +1,8 @@
 """Readers, writers, rule tables and the sweep loop."""
 
+import csv
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,37 @@ def test_line_end_in_a_field(spark, tmp_path):
     path.write_text('itemid,label\n1,"two\nlines"\n2,ok\n')
     got = tables.read_csv(spark, str(path), tables.SCHEMAS["d_labitems"], multi_line=True).collect()
     assert sorted((r.itemid, r.label) for r in got) == [(1, "two\nlines"), (2, "ok")]
+
+
+def test_line_ends_in_fields_of_files_read_in_parts(spark, tmp_path):
+    rng = random.Random(11)
+    pieces = ["a", "b c", ",", '"', "\n", "", "é", "\n\n", '""', "NA", " x"]
+    for n, end in ((0, "\n"), (1, "\n"), (300, "\n"), (301, "\r\n")):
+        rows = [[str(i), "".join(rng.choice(pieces) for _ in range(rng.randrange(6))), rng.choice(["", "p"])] for i in range(n)]
+        rows += [[str(n + 1), "end\n" * 400, "p"]] * bool(n)
+        path = tmp_path / f"t{n}.csv"
+        with path.open("w", newline="") as file:
+            out = csv.writer(file, lineterminator=end)
+            out.writerow(["stay_id", "chiefcomplaint", "pain"])
+            out.writerows(rows)
+        schema = "stay_id long, chiefcomplaint string, pain string"
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        want = sorted(map(tuple, tables.typed(reader.csv(str(path)), schema).collect()), key=str)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+            df = tables.read_csv(spark, f"file://{path}", schema, multi_line=True)
+            assert sorted(map(tuple, df.collect()), key=str) == want and len(want) == len(rows)
+            assert n < 2 or spark.read.text(str(path)).rdd.getNumPartitions() > 3
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tables_are_found_on_any_file_system(spark, tmp_path):
+    (tmp_path / "in" / "ed").mkdir(parents=True)
+    (tmp_path / "in" / "ed" / "triage.csv").write_text('subject_id,stay_id,acuity,pain,chiefcomplaint\n1,2,3,4,"a\nb"\n')
+    folders = [f"file://{tmp_path}/none", f"file://{tmp_path}/in"]
+    path = tables.ensure_parquet(spark, "triage", folders, f"file://{tmp_path}/out")
+    assert [r.chiefcomplaint for r in spark.read.parquet(path).collect()] == ["a\nb"]
+    assert tables.ensure_parquet(spark, "triage", [], f"file://{tmp_path}/out") == path
+    assert not tables.exists(spark, f"file://{tmp_path}/none") and list(tables.files_below(spark, f"file://{tmp_path}/none")) == []
