@@ -26,6 +26,5 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finished_combinations(spark: SparkSession, path: str) -> DataFrame:
-    """combo_id of every output that exists, read from file paths."""
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("p"))
-    return files.select(F.regexp_extract("p", r"combo_id=([^/]+)", 1).alias("combo_id")).distinct()
+    """combo_id of every output that exists; the scan reads no column of the files."""
+    return spark.read.parquet(path).select(F.col("combo_id").cast("string").alias("combo_id")).distinct()
