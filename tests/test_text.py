@@ -1,5 +1,7 @@
 """Text expressions, rules, relabelling and topic operators on hand-made rows."""
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,33 @@ def test_parts_of_a_split_topic_take_no_id_that_was_merged_away(spark):
     targets = spark.createDataFrame([(0, 6)], "topic int, n long")
     parts = lambda above: {r["topic"] for r in apply_split(df, "topic", "sub", targets, above).collect()}
     assert parts(None) == {2, 3, 1, -1} and parts(F.lit(2)) == {3, 4, 1, -1}
+
+
+ODD_TEXTS = ["CP n/v/d ha HA_ \U00010400cp cp\U00010400 \U00010400 si", "n/v h/a-ha", "İcp ha ſob sob", "", None, "cp", "É cp écp",
+             "a b c", "x/y b"]
+
+
+def test_only_pairs_that_apply_are_replaced(spark):
+    """The same texts as by every pair in turn, without a pattern run per pair."""
+    def one_by_one(text, pairs):
+        return tx.strip(reduce(lambda acc, p: F.regexp_replace(acc, tx.whole_word(p[0]), p[1]), pairs, F.lower(text)))
+
+    odd = spark.createDataFrame([(t,) for t in ODD_TEXTS], "t string")
+    # a long form with a later short form, one with an earlier one, short forms with other characters
+    for pairs in (values.ABBREVIATIONS, [("a", "b x"), ("b", "c a"), ("c", "b"), ("x/y", "a b"), ("si", "-")], [("ha", "cp"), ("cp", "x"), ("cp", "y")]):
+        pairs = [p for p in pairs if p[0] != p[1]]
+        got = odd.select(tx.expand_abbreviations(F.col("t"), pairs).alias("a"), one_by_one(F.col("t"), pairs).alias("b"))
+        assert all(r["a"] == r["b"] for r in got.collect())
+    plan = odd.select(tx.expand_abbreviations(F.col("t"), values.ABBREVIATIONS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 3  # once in the plan, once in the column's name
+
+
+def test_patterns_run_only_near_a_phrase(spark):
+    """A plain search stands before every pattern and loses no match of any case."""
+    phrases = ["kiss pain", "ill", "os"]
+    texts = ["KIſS pain", "Kiss pİin", "kıſſ paın", "İll", "iLL", "xill", "oſ", "pos", "nothing", "", None]
+    odd = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = odd.select(tx.has_whole_word(F.col("t"), phrases).alias("a"), F.col("t").rlike(tx.any_whole_word(phrases)).alias("b")).collect()
+    assert [bool(r["a"]) for r in got] == [bool(r["b"]) for r in got] and sum(bool(r["b"]) for r in got) >= 5
+    plan = odd.select(word_label(F.col("t"), [(p, "x") for p in phrases]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan

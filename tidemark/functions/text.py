@@ -44,20 +44,46 @@ def any_whole_word(phrases) -> str:
     return f"(?iu)(?<!{WORD_CHAR})(?:{'|'.join(map(_quoted, phrases))})(?!{WORD_CHAR})"
 
 
+# The characters besides A-Z that "any case" takes for one of a-z and ``lower`` does not turn into it.
+FOLDED = "\u0130\u0131\u017f\u212a"
+
+
+def has_whole_word(text: Column, phrases) -> Column:
+    """Whether one of the phrases stands alone in ``text``, any case.
+
+    A plain search for the phrases comes first, as it is far cheaper than the
+    pattern and most texts have none of them. It lets pass whatever could match.
+    """
+    found = text.rlike(any_whole_word(phrases))
+    if not all(p.isascii() for p in phrases):
+        return found
+    near = [F.lower(text).contains(p.lower()) for p in phrases] + [text.contains(c) for c in FOLDED]
+    return reduce(lambda a, b: a | b, near) & found
+
+
+# as the look-behind of ``whole_word`` sees them, characters beyond 16 bits are no word characters
+NARROW_WORD = r"[\p{L}\p{N}_&&[\x{0}-\x{FFFF}]]+"
+
+
 def expand_abbreviations(text: Column, pairs) -> Column:
     """Lower case, replace whole words in the order of ``pairs``, strip.
 
-    One chain of JVM expressions in a single projection. A pair that maps a
+    The words of a text are looked up once, and only those pairs run that can
+    change it: the short form is one of its words or of an earlier pair's long
+    form, or holds other characters than word characters. A pair that maps a
     word to itself cannot change lower-cased text and is left out.
     """
     chain = [(short, long) for short, long in pairs if short != long]
-    return strip(
-        reduce(
-            lambda acc, pair: F.regexp_replace(acc, whole_word(pair[0]), pair[1]),
-            chain,
-            F.lower(text),
-        )
-    )
+    lowered, shorts = F.lower(text), [short for short, _ in chain]
+    if len(set(shorts)) < len(shorts) or not chain:
+        return strip(reduce(lambda acc, pair: F.regexp_replace(acc, whole_word(pair[0]), pair[1]), chain, lowered))
+    always = [s for i, s in enumerate(shorts) if not re.fullmatch(r"[a-z0-9]+", s) or any(s in long for _, long in chain[:i])]
+    own = F.regexp_extract_all(lowered, F.lit(NARROW_WORD), F.lit(0))
+    # in the order of the first array
+    used = F.array_intersect(F.array(*map(F.lit, shorts)), F.concat(own, F.array(*map(F.lit, always)).cast("array<string>")))
+    patterns = F.create_map(*[F.lit(x) for s in shorts for x in (s, whole_word(s))])
+    longs = F.create_map(*[F.lit(x) for pair in chain for x in pair])
+    return strip(F.aggregate(used, lowered, lambda acc, s: F.regexp_replace(acc, patterns[s], longs[s])))
 
 
 def default_text(text: Column, default: str = "unknown") -> Column:

@@ -6,7 +6,7 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import any_whole_word
+from tidemark.functions.text import has_whole_word
 
 
 def _cases(branches, default) -> Column:
@@ -41,5 +41,5 @@ def word_label(text: Column, rules, default: str | None = None) -> Column:
     """
     branches = []
     for label, run in groupby(rules, key=lambda r: r[1]):
-        branches.append((text.rlike(any_whole_word([phrase for phrase, _ in run])), F.lit(label)))
+        branches.append((has_whole_word(text, [phrase for phrase, _ in run]), F.lit(label)))
     return _cases(branches, default)
