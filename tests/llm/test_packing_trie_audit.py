@@ -52,6 +52,28 @@ def test_remembered_tokens_are_the_librarys():
         assert [x.tolist() for x in own(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_with_marks_are_encoded_without_the_library():
+    with open(BYTES) as file:
+        own = bitpack.Tokens(file.read())
+    letters = [chr(c) for c in range(0x41, 0x2B0) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]
+    r = random.Random(2)
+    some = lambda these, most: "".join(r.choice(these) for _ in range(r.randrange(most)))
+    texts = ["a" + "".join(r.choice(" \n") + some(letters, 9) + r.choice(letters) + some(marks, 4) for _ in range(40)) for _ in range(200)]
+    texts += [f"a {c}" for c in letters] + [f"a\nb{c}" for c in marks]
+    asked, library = [], own._library
+    own._library = lambda x: asked.extend(x) or library(x)
+    told = own(texts)
+    assert set(asked) == {"a"}
+    assert [x.tolist() for x in told] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    with open(BYTES) as file:
+        model = file.read()
+    assert bitpack.tokens_of(model) is bitpack.tokens_of(str(model))
+
+
 def test_other_vocabularies_are_not_remembered():
     with open(public_tokenizers.path("word_bpe_49k.json")) as file:
         own = bitpack.Tokens(file.read())

@@ -16,12 +16,16 @@ whole stream leads to one block.
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +38,16 @@ LAYOUT = "<8sIIQQQQQ"
 FOOTER = struct.calcsize(LAYOUT)
 BLOCK_IDS = 1 << 16
 SHARD_BYTES = 32 << 20  # of text in a shard, about
-REMEMBERED = 300_000  # stretches in each of two generations that a task keeps
+REMEMBERED = 200_000  # words in each of two generations that a worker process keeps
 LONG = 48  # characters of a stretch that is not kept
-JOINED = 20_000  # new stretches that the library gets as one text
 OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 PAIRS = ("  ", " \n", "\n ", "\n\n")
+# letters, then other marks than the apostrophe: the byte-level split makes a piece of each
+WORD = re.compile("\n?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# how byte-level vocabularies write the bytes: visible characters as they are, the others from U+0100 on
+_HIDDEN = [*range(33), *range(0x7F, 0xA1), 0xAD]
+SPELLED = "".join(chr(0x100 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 
 
 def even(text: str) -> bool:
@@ -88,6 +97,11 @@ def unpack(block: np.ndarray, width: int, begin: int, count: int) -> np.ndarray:
     return out.ravel()[skipped : skipped + count]
 
 
+def piece_ids(model, piece: str) -> bytes:
+    """Ids of one piece of the byte-level split, given as vocabularies write it."""
+    return array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+
+
 class Tokens:
     """Ids as the library gives them; for byte-level vocabularies stretches of text are encoded once and remembered."""
 
@@ -100,49 +114,83 @@ class Tokens:
         split = told["pre_tokenizer"] or {}
         # only where nothing is changed before the byte-level split do stretches mean the same in any place
         self.remember = told["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        for token, i in vocabulary.items():
-            self.begins[i] = token[:1] in ("\u0120", "\u010a")  # how the vocabulary writes a blank and a line feed
+        # no added token lies within a word and its marks
+        words = [t["content"].strip().rstrip(MARKS) for t in told["added_tokens"]]
+        self.plain = self.remember and all(x and not WORD.fullmatch(x) for x in words)
+        self.line = array("I", self._library(["\n"])[0]).tobytes()
+        # these do not refer to this object, which is to be freed with its task
+        self.word = partial(piece_ids, self.library.model)
+        self.marks = lru_cache(10_000)(self.word)
         self.young, self.old = {}, {}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new stretches, which the library gets many at a time; their first ids tell them apart."""
-        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        whole = [[x if x[0] == "\n" else " " + x for x in g] for g in groups]
-        out = {}
-        for group, spelled, ids in zip(groups, whole, self._library(["".join(g) for g in whole])):
-            held = array("I", ids)
-            starts = np.flatnonzero(self.begins[np.frombuffer(held, np.uint32)]).tolist()
-            if len(starts) == len(group):
-                out.update((x, held[a:b].tobytes()) for x, a, b in zip(group, starts, [*starts[1:], len(held)]))
-            else:
-                out.update((x, array("I", own).tobytes()) for x, own in zip(group, self._library(spelled)))
-        return out
+        """Ids of stretches that are not remembered.
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        short = [self.remember and even(x) for x in texts]
+        A word and the marks behind it are two pieces for the model, so only
+        the word is remembered; other stretches are the library's.
+        """
+        young, old = self.young, self.old
+        words = [x.rstrip(MARKS) for x in new]  # plain strings: objects that Python's collector tracks cost more than they save
+        plain = set(filter(WORD.fullmatch, set(words))) if self.plain else set()
+        asked = plain.difference(young)
+        asked.update(x for x, word in zip(new, words) if word not in plain)
+        known = {x: old[x] for x in asked if x in old}
+        asked.difference_update(known)
+        other = list(asked.difference(plain))
+        asked = list(asked.intersection(plain))
+        # a blank is in no word
+        spelled = charmap_decode(" ".join(asked).encode(), "strict", SPELLED)[0].split(SPELLED[32]) if asked else []
+        for x, word in zip(asked, spelled):
+            known[x] = self.line + self.word(word[1:]) if x[0] == "\n" else self.word(SPELLED[32] + word)
+        whole = self._library([x if x[0] == "\n" else " " + x for x in other])
+        known.update((x, array("I", own).tobytes()) for x, own in zip(other, whole))
+        young.update((x, v) for x, v in known.items() if len(x) <= LONG)
+        for x, word in zip(new, words):
+            if x not in known:
+                known[x] = (known[word] if word in known else young[word]) + self.marks(x[len(word) :])
+        return known
+
+    def _stretches(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are ``even``."""
+        if not texts:
+            return []
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
         # what stands behind a blank goes without it, what stands behind a line feed with it
-        parts = [x.replace("\n", " \n").split(" ") for x, own in zip(texts, short) if own]
-        rest = iter(self._library([x.pop(0) for x in parts] + [x for x, own in zip(texts, short) if not own]))
-        firsts = [array("I", next(rest)).tobytes() for _ in parts]
-        held = [list(map(young.get, own)) for own in parts]
-        gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in held]
-        absent = {own[i] for own, at in zip(parts, gaps) for i in at}
-        here = {x: old[x] for x in absent if x in old}
-        here |= self._learn([x for x in absent if x not in here])
-        for own, row, at in zip(parts, held, gaps):
-            for i in at:
-                row[i] = here[own[i]]
-        young.update((x, v) for x, v in here.items() if len(x) <= LONG)
-        told = (first + b"".join(row) for first, row in zip(firsts, held))
-        return [np.frombuffer(next(told), np.uint32) if own else np.array(next(rest), np.uint32) for own in short]
+        cut = [x.replace("\n", " \n").partition(" ") for x in texts]
+        firsts = [np.array(x, np.uint32) for x in self._library([x for x, _, _ in cut])]
+        split = pc.split_pattern(pa.array([x if blank else None for _, blank, x in cut], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        stretches, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        held = list(map(self.young.get, stretches))
+        gaps = [i for i, x in enumerate(held) if x is None]
+        here = self._learn([stretches[i] for i in gaps])
+        for i in gaps:
+            held[i] = here[stretches[i]]
+        # the ids of all stretches behind each other, then those of each place taken out of them
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat, begins = np.frombuffer(b"".join(held), np.uint32), np.cumsum(size) - size
+        n = size[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = flat[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+        words = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+        last = ends[words].tolist()
+        return [np.concatenate([first, ids[a:b]]) for first, a, b in zip(firsts, [0, *last], last)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        short = [self.remember and even(x) for x in texts]
+        held = iter(self._stretches([x for x, own in zip(texts, short) if own]))
+        rest = iter(self._library([x for x, own in zip(texts, short) if not own]))
+        return [next(held) if own else np.array(next(rest), np.uint32) for own in short]
+
+
+@lru_cache(1)
+def tokens_of(model: str) -> Tokens:
+    """The encoder of a worker process, which its next tasks use with all that it remembers."""
+    return Tokens(model)
 
 
 class _Shard:
@@ -247,7 +295,7 @@ def write_packed(
     def shard(batches):
         from pyspark import TaskContext
 
-        encode = Tokens(given())
+        encode = tokens_of(given())
         out = _Shard(TaskContext.get().partitionId(), width, end, block_ids)
         row = lambda block: pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
         for batch in batches:
