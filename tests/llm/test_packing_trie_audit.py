@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -230,3 +231,12 @@ def test_probability_is_exact_for_large_counts(spark):
     row = spark.createDataFrame([(10**13 + 7, 3 * 10**13, 5)], "c long, n long, v long")
     got = row.select(divergence.probability(F.col("c"), F.col("n"), F.col("v"))).first()[0]
     assert got == 1 + 10**9 * (10**13 + 8) // (3 * 10**13 + 5)
+
+
+def test_terms_of_a_language_are_dealt_out_once(spark):
+    docs = spark.createDataFrame([("en", "a", "One two_two ÉTÉ été"), ("en", "b", "one"), (None, None, None)], "lang string, source string, text string")
+    found = divergence.group_terms(docs)
+    kept = found.withColumn("all", F.sum("count").over(Window.partitionBy("lang", "term")))
+    assert kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == 1
+    want = {("en", "a", "one", 1, 1), ("en", "b", "one", 1, 1), ("en", "a", "two", 2, 1), ("en", "a", "ÉtÉ", 1, 1), ("en", "a", "été", 1, 1)}
+    assert set(map(tuple, found.collect())) == want

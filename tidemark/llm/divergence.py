@@ -7,7 +7,6 @@ probability, and the sum over all terms for a pair of sources is one over the
 runs between the two columns' boundaries, each times its length.
 """
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -18,21 +17,28 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import raw, slices
 from tidemark.session import cut_lineage
 
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")  # code points from 0x80 on are bytes from 0x80 on
+# every byte of a term as it is counted, every other byte as a blank; code points from 0x80 on are bytes from 0x80 on
+TERM = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
 SCALE = 1_000_000_000
-HELD = 300_000  # counts that a task holds before it sends them on
+HELD = 500_000  # counts that a task holds before it sends them on
 BLOCK = 20_000  # distinct runs of counts that one task lays in columns
 COUNTS = "lang string, source string, term string, count long, docs long"
 
 
 def group_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, term, count, docs): occurrences and rows that hold the term, per group."""
+    """(lang, source, term, count, docs): occurrences and rows that hold the term, per group.
+
+    All rows of a language's term are in one partition, so that work per
+    (lang, term) needs no further shuffle.
+    """
 
     def tell(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, *n) for (lang, source), own in held.items() for term, n in own.items()]
-        columns = list(zip(*rows))
+        columns = [[], [], [], [], []]
+        for (lang, source), (counts, docs) in held.items():
+            own = ([lang] * len(counts), [source] * len(counts), [t.decode() for t in counts], counts.values(), map(docs.__getitem__, counts))
+            for column, values in zip(columns, own):
+                column.extend(values)
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        columns[2] = [t.decode() for t in columns[2]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in COUNTS.split(", ")])
 
     def count(batches):
@@ -40,12 +46,12 @@ def group_terms(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         for batch in batches:
             for part in slices(batch):
                 for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), raw(part.column("text"))):
-                    own = held.setdefault((lang, source), {})
-                    size -= len(own)
-                    for term, n in Counter(TERM.findall(text.lower())).items():
-                        seen = own.get(term)
-                        own[term] = (seen[0] + n, seen[1] + 1) if seen else (n, 1)
-                    size += len(own)
+                    counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                    size -= len(counts)
+                    terms = text.translate(TERM).split()
+                    counts.update(terms)
+                    docs.update(set(terms))
+                    size += len(counts)
                 if size > HELD:
                     yield tell(held)
                     held, size = {}, 0
@@ -54,7 +60,7 @@ def group_terms(docs: DataFrame, lang: str = "lang", source: str = "source", tex
 
     none = F.lit("")
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), none).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(count, COUNTS).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -134,9 +140,9 @@ def audit(
     """
     none = F.lit("")
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), none).alias(a) for c, a in ((lang, "lang"), (source, "source")))).distinct()
-    counts = cut_lineage(group_terms(docs, lang, source, text))
-    kept = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
-    counts = cut_lineage(counts.drop("docs").join(kept.drop("docs"), ["lang", "term"]))
+    per_term = Window.partitionBy("lang", "term")
+    counts = group_terms(docs, lang, source, text).withColumns({"lang_count": F.sum("count").over(per_term), "docs": F.sum("docs").over(per_term)})
+    counts = cut_lineage(counts.filter(F.col("docs") >= min_docs).drop("docs"))
     # every group, its N and that of its language, V, and its number: the largest is first
     of_group = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     of_lang = counts.groupBy("lang", "term").agg(F.first("lang_count").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
