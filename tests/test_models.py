@@ -167,3 +167,23 @@ def test_jobs_run_together_and_keep_their_order(spark):
         return spark.range(n).count()
 
     assert together([lambda n=n: count(n) for n in (5, 3, 9)]) == [5, 3, 9] and together([]) == []
+
+
+def test_importance_scores_every_case_once(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    df = toy(spark, 60)
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def transform(self, cases):
+            def score(v):
+                scored_rows.add(1)
+                p = 1 / (1 + 2.718 ** -float(v[0]))
+                return Vectors.dense([1 - p, p])
+
+            return cases.withColumn("probability", F.udf(score, VectorUDT())("features"))
+
+    got = learners.permutation_importance(Counted(), df, "y", ["x", "z"], ["id"]).collect()
+    assert {r.feature: r.importance > 0.1 for r in got} == {"x": True, "z": False}
+    assert scored_rows.value == 60 * 3
