@@ -187,3 +187,20 @@ def test_importance_scores_every_case_once(spark):
     got = learners.permutation_importance(Counted(), df, "y", ["x", "z"], ["id"]).collect()
     assert {r.feature: r.importance > 0.1 for r in got} == {"x": True, "z": False}
     assert scored_rows.value == 60 * 3
+
+
+def test_predictions_fit_their_models_together_and_deal_out_the_scoring(spark, monkeypatch):
+    import threading
+
+    gate = threading.Barrier(3, timeout=60)  # opens only when all three kinds are being fitted
+
+    def fitted(output):
+        gate.wait()
+        return lambda df: df.withColumn(output, F.lit(0.5))
+
+    monkeypatch.setattr(learners, "plain_model", lambda train, estimator, label, output: fitted(output))
+    monkeypatch.setattr(learners, "calibrated_model", lambda *a, output, **kw: fitted(output))
+    test = spark.range(20).selectExpr("id AS stay_id", f"0 AS {experiments.TARGET}").coalesce(1)
+    got = experiments.model_predictions(test, test)
+    assert got.columns == ["stay_id", "target", "pred_logistic", "pred_random", "pred_xgboost"] and got.count() == 20
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
