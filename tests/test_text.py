@@ -206,3 +206,28 @@ def test_patterns_run_only_near_a_phrase(spark):
     assert [bool(r["a"]) for r in got] == [bool(r["b"]) for r in got] and sum(bool(r["b"]) for r in got) >= 5
     plan = odd.select(word_label(F.col("t"), [(p, "x") for p in phrases]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" in plan
+
+
+def test_long_runs_are_counted_only_where_their_parts_are_common(spark, monkeypatch):
+    import random
+    import re
+    from collections import Counter
+
+    from tidemark.operators import topics
+
+    rng = random.Random(5)
+    texts = [(t, " ".join(f"w{min(rng.randint(1, 40), rng.randint(1, 40))}" for _ in range(rng.randint(0, 30)))) for t in range(7) for _ in range(6)]
+    texts += [(t, f"Same three{t} words") for t in range(7)] + [(0, None), (1, ""), (None, "same words w1 w2"), (2, "w1")]
+    want = Counter()
+    for t, text in texts:
+        own = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w != "w3"]
+        want.update((t, " ".join(own[i : i + n])) for n in (1, 2, 3) for i in range(len(own) - n + 1))
+    spread = Counter(term for _, term in want)
+    passed, count = [], topics._per_topic
+    monkeypatch.setattr(topics, "_per_topic", lambda terms, least: (passed.append(terms.count()), count(terms, least))[1])
+    df = spark.createDataFrame(texts, "t int, x string")
+    got = topics.term_counts(df, "t", "x", ["w3"], 3, 4).collect()
+    assert {(r.topic, r.term): (r.n, r.n_topics) for r in got} == {k: (n, spread[k[1]]) for k, n in want.items() if spread[k[1]] >= 4}
+    assert len(got) == len({(r.topic, r.term) for r in got}) and all(r.n_all == sum(n for k, n in want.items() if k[1] == r.term) for r in got)
+    longest = sum(n for k, n in want.items() if k[1].count(" ") == 2)
+    assert len(passed) == 3 and passed[2] < longest / 2

@@ -1,5 +1,7 @@
 """Topic words, duplicate topics, oversized topics and topic quality."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tidemark.operators.parallel import spread
 from tidemark.session import cut_lineage
 
 NOISE = -1
+BITS_PER_TERM, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27  # of the table that tells which runs may be part of longer ones
 
 
 def stop_words(base, keep, extra) -> list[str]:
@@ -26,23 +29,81 @@ def term_counts(
 
     Terms are runs of 1 to ``longest`` words within a text after stop words are
     gone. Counting per (topic, term) combines before the shuffle; document
-    frequency limits count topics.
+    frequency limits count topics. With a lower limit, a longer run is counted
+    only where the shorter runs in it may reach the limit.
     """
     rows = spread(df.select(topic, text))
     tokens = rows.select(F.col(topic).alias("topic"), without(words(F.col(text)), stop).alias("tokens"))
-    terms = tokens.select("topic", F.explode(ngrams(F.col("tokens"), longest)).alias("term"))
-    counts = terms.groupBy("topic", "term").agg(F.count("*").alias("n"))
-    # a term has at most one row per topic here
-    per_term = W.partitionBy("term")
-    counts = counts.withColumns({"n_topics": F.count("*").over(per_term), "n_all": F.sum("n").over(per_term)})
-    if min_topics > 1:
-        counts = counts.filter(F.col("n_topics") >= min_topics)
+    if min_topics > 1 and longest > 1:
+        counts = _common_runs(tokens, longest, min_topics)
+    else:
+        counts = _per_topic(tokens.select("topic", F.explode(ngrams(F.col("tokens"), longest)).alias("term")), min_topics)
     if max_share < 1.0:
         all_topics = df.agg(F.countDistinct(topic).alias("t")).scalar()
         counts = counts.filter(F.col("n_topics") <= F.lit(max_share) * all_topics)
     return counts
 
 
+def _per_topic(terms: DataFrame, min_topics: int) -> DataFrame:
+    """The counts of the rows (topic, term) for terms in at least ``min_topics`` topics."""
+    counts = terms.groupBy("topic", "term").agg(F.count("*").alias("n"))
+    # a term has at most one row per topic here
+    per_term = W.partitionBy("term")
+    counts = counts.withColumns({"n_topics": F.count("*").over(per_term), "n_all": F.sum("n").over(per_term)})
+    return counts.filter(F.col("n_topics") >= min_topics) if min_topics > 1 else counts
+
+
+def _common_runs(tokens: DataFrame, longest: int, min_topics: int) -> DataFrame:
+    """``_per_topic`` of all runs, from the short ones to the long ones.
+
+    A run is in no more topics than the two runs of one word less in it, so
+    only runs whose parts both reach the limit are counted. A bit table of
+    bounded size tells the parts; parts that share a bit with one that reaches
+    the limit let runs pass that the count then drops.
+    """
+    tokens = cut_lineage(tokens)
+    found = cut_lineage(_per_topic(tokens.select("topic", F.explode("tokens").alias("term")), min_topics))
+    levels, parts = [found], F.col("tokens")
+    for n in range(2, longest + 1):
+        bits, table = _bit_table(found.select("term").distinct())
+        held = F.arrays_zip(
+            parts.alias("head"), F.slice(parts, 2, F.size("tokens")).alias("tail"), F.slice("tokens", n, F.size("tokens")).alias("last")
+        )
+        # the last part has no word behind it
+        runs = tokens.filter(F.size("tokens") >= n).select("topic", F.inline(held)).filter(F.col("tail").isNotNull())
+        for part in ("head", "tail"):
+            runs = runs.filter(_has_bit(table, F.col(part), bits))
+        found = cut_lineage(_per_topic(runs.select("topic", F.concat("head", F.lit(" "), "last").alias("term")), min_topics))
+        levels.append(found)
+        later = F.slice("tokens", n, F.size("tokens"))
+        parts = F.array_compact(F.zip_with(parts, later, lambda run, t: F.concat(run, F.lit(" "), t)))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _spot(term: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(bits))
+
+
+def _bit_table(terms: DataFrame) -> tuple[int, DataFrame]:
+    """(bits, table of one row): 64-bit words in which the bit of every term is set; about ``BITS_PER_TERM`` bits for each."""
+    bits = FEWEST_BITS
+    wanted = min(terms.count() * BITS_PER_TERM, MOST_BITS)
+    while bits < wanted:
+        bits *= 2
+    spots = terms.select(_spot(F.col("term"), bits).alias("spot"))
+    held = spots.selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, int(spot & 63)) AS held")
+    empty = terms.sparkSession.range(bits // 64).selectExpr("id AS word", "0L AS held")
+    words_of_table = held.union(empty).groupBy("word").agg(F.bit_or("held").alias("held"))
+    listed = F.sort_array(F.collect_list(F.struct("word", "held")))
+    return bits, cut_lineage(words_of_table.agg(listed["held"].alias("held")))
+
+
+def _has_bit(table: DataFrame, term: Column, bits: int) -> Column:
+    spot = _spot(term, bits)
+    word = F.get(table.select("held").scalar(), F.shiftright(spot, 6).cast("int"))
+    return F.call_function("shiftright", word, spot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
 def topic_word_weights(counts: DataFrame) -> DataFrame:
     """Class-based TF-IDF: sqrt(share of the topic's words) * ln(1 + (A - f + .5) / (f + .5)).
 
