@@ -1,6 +1,7 @@
 """Edge cases and brute-force comparisons of the training-text operators."""
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -222,6 +223,36 @@ def test_toxicity(spark, odd, none, folder):
     assert {x["score"] for x in toxicity.score_toxicity(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    rows = [(i, f"wort{i % 9} " + ("grobian" if i % 3 == 0 else "gut"), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    driver, fit = os.getpid(), toxicity.fit
+
+    def away(*a, **kw):
+        assert os.getpid() != driver, "the driver fits"
+        return fit(*a, **kw)
+
+    monkeypatch.setattr(toxicity, "fit", away)
+    known = toxicity.training_rows(docs, docs, "doc_id", "text", "toxic", 5000, 50_000)
+    share, net = toxicity.fitted(known, 12)
+    want = [(r["_text"].encode(), r["_label"]) for r in known.collect()]
+    assert share == sum(y for _, y in want) / len(want)
+    alone = fit([t for t, _ in want], [y for _, y in want], stride=12)
+    assert set(net) == set(alone) and all(np.array_equal(net[k], alone[k]) for k in net)
+
+
+def test_components_leave_only_the_last_labels(spark, tmp_path):
+    from tidemark.operators.graph import connected_components
+    from tidemark.session import checkpoint_folder
+
+    folder = checkpoint_folder(spark)
+    before = set(os.listdir(folder.removeprefix("file://")))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    got = connected_components(spark.range(12).toDF("node"), edges).collect()
+    assert {r["node"]: r["root"] for r in got} == {n: 0 if n < 10 else n for n in range(12)}
+    assert len(set(os.listdir(folder.removeprefix("file://"))) - before) == 1
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 23, 24, 25, 100, 1001):
         seen = toxicity.windows(np.arange(n))

@@ -215,7 +215,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 linked.append(a)
         return pa.table({"a": pa.array(linked, pa.int64()), "b": pa.array([hub] * len(linked), pa.int64())})
 
-    return needed.join(sets, "class").groupBy("b", "star").applyInArrow(weigh, "a long, b long")
+    found = cut_lineage(needed.join(sets, "class").groupBy("b", "star").applyInArrow(weigh, "a long, b long"))
+    discard(stars)
+    return found
 
 
 def _apart():
@@ -284,7 +286,7 @@ def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den:
     release(docs.sparkSession)
 
     def verified(pairs):
-        found = cut_lineage(_verified(pairs, sets, num, den))
+        found = _verified(pairs, sets, num, den)
         release(docs.sparkSession)
         return found
 
@@ -305,21 +307,24 @@ def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den:
         near = known.join(drawn, "key").filter("root <> drawn.root").select(F.col("class").alias("a"), F.col("drawn.class").alias("b"))
         near = able(near.distinct()).groupBy("a").agg(F.min(F.struct(_apart().alias("apart"), "b")).alias("near"))
         links = cut_lineage(links.union(verified(near.select("a", "near.b"))))
+        discard(known)
     # in slices that still hold several components: all that are outside the first one's, with all others
     known = _labelled(met, _roots(links))
     ends = known.groupBy("key").agg(F.min(F.struct("class", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = known.join(ends.filter("low <> high"), "key")
     mixed = mixed.select("key", "class", "root", (F.col("root") == F.col("least.root")).alias("main"))
     mixed = cut_lineage(mixed.join(sizes, "class"))
+    discard(known, met)
+    release(docs.sparkSession)
     right = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "sketch", "main")))
     rest = mixed.filter("not main").join(right, "key").filter("root <> root2 and (main2 or class < class2)").filter(_possible(num, den))
     links = links.union(verified(rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()))
+    discard(mixed, sets)
 
     roots = _roots(links)
     named = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(lowest, "root").select("class", "root", "component_id")
-    discard(sets, met)
     return rows.join(named, "class", "left").select(
         "id", "text_hash", "n", "root", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -3,10 +3,12 @@
 A word enters as its own hashed embedding, the mean embedding of its hashed
 character trigrams and the embedding of the first of them. Two gated recurrent passes read a window of
 words, attention pools their states, and a text is as toxic as its worst
-window. The network is fitted on the driver from a bounded sample of labelled
+window. The network is fitted in one task from a bounded sample of labelled
 rows; every window of every text is scored in tasks.
 """
 
+import pickle
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -318,15 +320,33 @@ def held_out(id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int, most_chars: int):
-    """(text, label): at most ``most`` labelled rows that are not held out, a third of them toxic if there are so many,
-    in the order of a hash of their ids; texts above ``most_chars`` are left out of the sample."""
+    """(_id, _text, _label): at most ``most`` labelled rows that are not held out, a third of them toxic if there are so many,
+    the first in the order of a hash of their ids; texts above ``most_chars`` are left out of the sample."""
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id)))
     known = known.groupBy(F.col(id).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     picked = [known.filter(f"_label = {k}").orderBy(F.xxhash64("_id"), "_id").limit(m) for k, m in ((0, most - most // 3), (1, most // 3))]
     picked = F.broadcast(picked[0].union(picked[1]))  # at most ``most`` rows of two numbers
     rows = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(picked, "_id")
-    rows = rows.filter(F.char_length("_text") <= most_chars).select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_text")
-    return [(r[1].encode(), r[2]) for r in rows.limit(most).collect()]
+    rows = rows.filter(F.char_length("_text") <= most_chars).select("_id", "_text", "_label")
+    return rows.orderBy(F.xxhash64("_id"), "_text").limit(most)
+
+
+def fitted(known: DataFrame, stride: int) -> tuple[float, dict | None]:
+    """Share of label 1 in the sample, and the network, or none where the sample has not both labels.
+
+    One task fits it, so that the driver holds neither the texts nor what the fit needs beside them.
+    """
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_order", "ascending"), ("_text", "ascending")])
+        texts, labels = [t.encode() for t in table.column("_text").to_pylist()], table.column("_label").to_pylist()
+        share = sum(labels) / len(labels)
+        net = None if share in (0, 1) else pickle.dumps(fit(texts, labels, stride=stride))
+        return pa.table({"share": pa.array([share], pa.float64()), "net": pa.array([net], pa.binary())})
+
+    rows = known.withColumn("_order", F.xxhash64("_id"))
+    found = rows.groupBy().applyInArrow(learn, "share double, net binary").first()
+    return (0.0, None) if found is None else (found["share"], found["net"] and pickle.loads(found["net"]))
 
 
 def score_toxicity(
@@ -354,13 +374,13 @@ def score_toxicity(
     """
     spark = docs.sparkSession
     known = training_rows(docs, labels, id, text, label, sample, sample_chars)
-    share = sum(y for _, y in known) / max(1, len(known))
+    share, net = fitted(known, stride)
     flag = held_out(F.col(id))
     taken = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     rows = docs.select(*taken)
-    if share in (0, 1):
+    if net is None:
         return rows.withColumns({"held_out": flag, "score": F.lit(float(share)), "predicted": F.lit(int(share))})
-    net = sent(spark, fit([t for t, _ in known], [y for _, y in known], stride=stride))
+    net = sent(spark, net)
 
     def run(batches):
         scorer = Scorer(net())
