@@ -88,6 +88,41 @@ def test_slices_meet_for_every_pair_at_the_threshold():
             assert np.intersect1d(bands.keys(a), bands.keys(b)).size or not list(bands.of(len(a)))
 
 
+@pytest.mark.parametrize("num", [60, 80, 85])
+def test_pairs_at_the_threshold_meet_in_as_many_slices_as_needed(num):
+    bands, r = paritysketch.Bands(num, 100), np.random.default_rng(2)
+    for n in (3, 9, 40, 120, 700, 2500):
+        for _ in range(10):
+            a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            gone = n * (100 - num) // (100 + num)
+            fewer, other = a[n * (100 - num) // 100 :], np.unique(np.concatenate([a[gone:], r.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+            for b in (fewer, other):
+                if len(np.intersect1d(a, b)) * 100 >= num * len(np.union1d(a, b)) and len(np.setxor1d(a, b)):
+                    met = np.intersect1d(bands.keys(a), bands.keys(b)).size
+                    (own, low, high), (own2, low2, high2) = bands.needed(len(a)), bands.needed(len(b))
+                    assert met >= min(high, high2) - max(low, low2)
+                    assert met >= max(own, own2) or not list(bands.of(max(len(a), len(b))))
+    assert bands.needed(2500)[0] > 10
+
+
+def test_long_texts_with_a_common_part_are_not_compared(spark, monkeypatch):
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(600)]
+    texts = [common + [f"w{r.randrange(10**9)}" for _ in range(900)] for _ in range(20)]
+    texts.append([*texts[0][:-20], *(f"new{i}" for i in range(20))])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    compared, verified = [], paritysketch._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(paritysketch, "_verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in paritysketch.jaccard_components(docs, k=5, num=80, den=100).collect()}
+    assert got == {i: i if i < 20 else 0 for i in range(21)}
+    assert compared[-1] == 0  # nearly all of the 210 pairs share slices, but too few
+
+
 def test_lines(odd, none, spark):
     assert linededup.dedup_lines(none).count() == 0
     rows = linededup.dedup_lines(odd).collect()

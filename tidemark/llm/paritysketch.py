@@ -5,11 +5,15 @@ in at most as many bits as the sets differ in shingles. A pair that reaches
 the threshold and whose larger set has at most ``u`` shingles differs in at
 most ``d = 2u(1-t)/(1+t)`` of them. The sketch of a size band is cut into
 ``d + 1 + 2e`` slices: at least ``2e + 1`` slices of such a pair are equal, so
-each set may leave out its ``e`` emptiest slices and the pair still meets in
-one. A slice is kept as the 64-bit XOR of the shingles in it.
+each set may leave out its ``e - m`` emptiest slices and the pair still meets
+in ``2m + 1``. A slice is kept as the 64-bit XOR of the shingles in it. Long
+texts that merely share some runs of words meet in a few slices, more of them
+the larger the table is; they are told by that number before sets are moved.
 """
 
+import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ MOST_FILTER_BITS = 1 << 30  # beyond, more rows pass and are shingled in vain
 FILTER_ROOM = 8  # bits for each wanted id
 WHOLE = 256  # shingles of sets that are verified by all 64 bits
 STAR = 32  # sets that are verified against one at a time, about
+NEEDS = ["need", "low", "high"]  # of slices, see ``Bands.needed``
 DRAWS = 2  # rounds that join what is easily joined, before all other pairs are compared
 
 
@@ -46,6 +51,7 @@ class Bands:
     den: int
     ratio: float = 1.25
     spare: float = 0.12
+    kept: float = 0.25  # of the spare slices
 
     def upper(self, n: int) -> tuple[int, int]:
         """Number and upper end of the band of ``n``."""
@@ -54,28 +60,48 @@ class Bands:
             band, end = band + 1, max(end + 1, int(end * self.ratio))
         return band, end
 
+    def _cut(self, end: int) -> tuple[int, int, int]:
+        """Slices, spare slices and those of them that are not left out, in the band that ends at ``end``."""
+        differ = 2 * end * (self.den - self.num) // (self.den + self.num)
+        spare = int(self.spare * (differ + 1))
+        return differ and differ + 1 + 2 * spare, spare, math.ceil(self.kept * spare)
+
+    @lru_cache(10_000)
+    def needed(self, n: int) -> tuple[int, int, int]:
+        """Slices in which a set of ``n`` shingles meets each partner at least, and the sums of these numbers below its bands and with them.
+
+        What a pair needs in all bands that it shares is the smaller of the
+        second sums less the larger of the first. In a band it is one less than
+        are equal, as two slices of a set may have one key.
+        """
+        own, last = self.upper(n)[0], self.upper(n * self.den // self.num)[0]
+        each, end = [], 1
+        while len(each) <= last:
+            each.append(2 * self._cut(end)[2])
+            end = max(end + 1, int(end * self.ratio))
+        return max(1, each[own]), sum(each[:own]), sum(each)
+
     def of(self, n: int):
         """Bands in which a set of ``n`` shingles takes part: number, slices, slices left out."""
         band, end = self.upper(n)
         last = self.upper(n * self.den // self.num)[0]
         while band <= last:
-            differ = 2 * end * (self.den - self.num) // (self.den + self.num)
-            if differ:  # else two different sets cannot reach the threshold
-                spare = int(self.spare * (differ + 1))
-                yield band, differ + 1 + 2 * spare, spare
+            count, spare, kept = self._cut(end)
+            if count:  # else two different sets cannot reach the threshold
+                yield band, count, spare - kept
             band, end = band + 1, max(end + 1, int(end * self.ratio))
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """64-bit keys of the slices of a sorted shingle set in all its bands."""
         high, out = shingles >> np.uint64(32), []
-        for band, count, spare in self.of(len(shingles)):
+        for band, count, out_of_it in self.of(len(shingles)):
             slice_of = ((high * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
             filled, starts, sizes = np.unique(slice_of, return_index=True, return_counts=True)
             values = np.zeros(count, np.uint64)
             values[filled] = np.bitwise_xor.reduceat(shingles, starts)
             held = np.zeros(count, np.int64)
             held[filled] = sizes
-            kept = np.argsort(held, kind="stable")[spare:]
+            kept = np.argsort(held, kind="stable")[out_of_it:]
             salt = np.uint64((band + 1) * int(ODD) & MASK)
             out.append(mix(mix(values[kept] + salt) + kept.astype(np.uint64) * ODD))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
@@ -96,8 +122,8 @@ def _narrow(shingles: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def shingled(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(id, text_hash, n, class, sketch) of every row; equal sets have equal classes, a row without words has none."""
+def shingled(docs: DataFrame, id: str, text: str, k: int, bands: Bands) -> DataFrame:
+    """(id, text_hash, n, need, low, high, class, sketch) of every row; equal sets have equal classes, a row without words has none."""
 
     def tell(batches):
         for batch in batches:
@@ -108,14 +134,15 @@ def shingled(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
                         part.column("id"),
                         part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        *(pa.array(x, pa.int32()) for x in zip(*(bands.needed(len(s)) for s in sets))),
                         pa.array([_class(s) for s in sets], pa.int64()),
                         pa.array([_narrow(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["id", "text_hash", "n", "class", "sketch"],
+                    ["id", "text_hash", "n", *NEEDS, "class", "sketch"],
                 )
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return rows.mapInArrow(tell, "id long, text_hash long, n long, class long, sketch array<long>")
+    return rows.mapInArrow(tell, "id long, text_hash long, n long, need int, low int, high int, class long, sketch array<long>")
 
 
 def members(docs: DataFrame, text: str, k: int, bands: Bands, groups: int) -> DataFrame:
@@ -272,15 +299,19 @@ def first_of_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den: int) -> DataFrame:
     """(id, text_hash, n, root, component_id) for every row; root names the component and is null without words."""
     bands = Bands(num, den)
-    rows = cut_lineage(shingled(docs, id, text, k))
+    rows = cut_lineage(shingled(docs, id, text, k, bands))
     classes = rows.filter("class is not null").groupBy("class").agg(
-        F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")
+        F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", *NEEDS, "sketch"))
     )
     # about one slice for each six shingles, in about two bands
     total = rows.agg(F.sum("n")).first()[0] or 0
     groups = int(total * 2.5 * (den - num) / (den + num)) // KEYS_PER_GROUP + 1
-    met = cut_lineage(members(docs, text, k, bands, groups))
-    nodes = cut_lineage(classes.join(met.select("class").distinct(), "class"))
+    found = cut_lineage(members(docs, text, k, bands, groups))
+    # a class that meets others in fewer slices than it must share with a partner has none
+    held = found.groupBy("class").agg(F.count("*").alias("held"))
+    nodes = cut_lineage(classes.join(held, "class").filter("held >= need").drop("held", "need"))
+    met = cut_lineage(found.join(nodes.select("class"), "class").select("key", "class"))
+    discard(found)
 
     sets = cut_lineage(_sets(docs, id, text, k, nodes.select("id", "class")))
     release(docs.sparkSession)
@@ -290,8 +321,8 @@ def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den:
         release(docs.sparkSession)
         return found
 
-    sizes = nodes.select("class", "n", "sketch")
-    own = sizes.withColumnRenamed("class", "a")
+    sizes = nodes.select("class", "n", "low", "high", "sketch")
+    own = sizes.drop("low", "high").withColumnRenamed("class", "a")
     other = sizes.select(F.col("class").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
     able = lambda pairs: pairs.join(own, "a").join(other, "b").filter(_possible(num, den))
 
@@ -308,7 +339,8 @@ def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den:
         near = able(near.distinct()).groupBy("a").agg(F.min(F.struct(_apart().alias("apart"), "b")).alias("near"))
         links = cut_lineage(links.union(verified(near.select("a", "near.b"))))
         discard(known)
-    # in slices that still hold several components: all that are outside the first one's, with all others
+    # in slices that still hold several components: all that are outside the first one's, with all others. Such a slice
+    # gives a pair of two components once, so that the count tells in how many slices it meets
     known = _labelled(met, _roots(links))
     ends = known.groupBy("key").agg(F.min(F.struct("class", "root")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = known.join(ends.filter("low <> high"), "key")
@@ -316,9 +348,12 @@ def keyed_components(docs: DataFrame, id: str, text: str, k: int, num: int, den:
     mixed = cut_lineage(mixed.join(sizes, "class"))
     discard(known, met)
     release(docs.sparkSession)
-    right = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "sketch", "main")))
+    right = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("class", "root", "n", "low", "high", "sketch", "main")))
     rest = mixed.filter("not main").join(right, "key").filter("root <> root2 and (main2 or class < class2)").filter(_possible(num, den))
-    links = links.union(verified(rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()))
+    ends = [F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")]
+    need = F.least("high", "high2") - F.greatest("low", "low2")
+    rest = rest.groupBy(*ends, need.alias("need")).agg(F.count("*").alias("common")).filter("common >= need")
+    links = links.union(verified(rest.select("a", "b")))
     discard(mixed, sets)
 
     roots = _roots(links)
