@@ -13,7 +13,6 @@ the larger the table is; they are told by that number before sets are moved.
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +65,6 @@ class Bands:
         spare = int(self.spare * (differ + 1))
         return differ and differ + 1 + 2 * spare, spare, math.ceil(self.kept * spare)
 
-    @lru_cache(10_000)
     def needed(self, n: int) -> tuple[int, int, int]:
         """Slices in which a set of ``n`` shingles meets each partner at least, and the sums of these numbers below its bands and with them.
 
@@ -126,15 +124,17 @@ def shingled(docs: DataFrame, id: str, text: str, k: int, bands: Bands) -> DataF
     """(id, text_hash, n, need, low, high, class, sketch) of every row; equal sets have equal classes, a row without words has none."""
 
     def tell(batches):
+        needed = {}
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(t, k) for t in raw(part.column("text"))]
+                needed |= {n: bands.needed(n) for n in {len(s) for s in sets} - needed.keys()}
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
                         part.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        *(pa.array(x, pa.int32()) for x in zip(*(bands.needed(len(s)) for s in sets))),
+                        *(pa.array(x, pa.int32()) for x in zip(*(needed[len(s)] for s in sets))),
                         pa.array([_class(s) for s in sets], pa.int64()),
                         pa.array([_narrow(s) for s in sets], pa.list_(pa.int64())),
                     ],
