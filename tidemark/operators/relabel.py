@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.aggregates import joined_modes
 from tidemark.operators.columns import require_columns
 from tidemark.operators.rules import substring_label, word_label
+from tidemark.session import cut_lineage
 
 OTHER = "Other/Unclassified"
 
@@ -34,7 +35,8 @@ def relabel(df: DataFrame, topic: str, text: str, label: str, overrides, groups,
     Noise keeps the default label until a row override applies.
     """
     require_columns(df, [topic, text, label])
-    named = topic_labels(df, topic, text, overrides, groups, k)
+    # stored: with a known small size it is joined where the rows are, not all rows of a topic in one task
+    named = cut_lineage(topic_labels(df, topic, text, overrides, groups, k))
     joined = df.withColumnRenamed(label, f"{label}_orig").join(named, topic, "left")
     noise = F.col(topic) == -1
     base = F.coalesce(F.col("topic_label"), F.lit(OTHER))

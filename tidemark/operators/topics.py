@@ -72,7 +72,7 @@ def _common_runs(tokens: DataFrame, longest: int, min_topics: int) -> DataFrame:
         # the last part has no word behind it
         runs = tokens.filter(F.size("tokens") >= n).select("topic", F.inline(held)).filter(F.col("tail").isNotNull())
         for part in ("head", "tail"):
-            runs = runs.filter(_has_bit(table, F.col(part), bits))
+            runs = runs.filter(_has_bit(table, bits, part))
         found = cut_lineage(_per_topic(runs.select("topic", F.concat("head", F.lit(" "), "last").alias("term")), min_topics))
         levels.append(found)
         later = F.slice("tokens", n, F.size("tokens"))
@@ -80,17 +80,17 @@ def _common_runs(tokens: DataFrame, longest: int, min_topics: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def _spot(term: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(bits))
+def _spot(bits: int, *columns) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
 
 def _bit_table(terms: DataFrame) -> tuple[int, DataFrame]:
-    """(bits, table of one row): 64-bit words in which the bit of every term is set; about ``BITS_PER_TERM`` bits for each."""
+    """(bits, table of one row): 64-bit words in which the bit of every row of ``terms`` is set; about ``BITS_PER_TERM`` bits for each."""
     bits = FEWEST_BITS
     wanted = min(terms.count() * BITS_PER_TERM, MOST_BITS)
     while bits < wanted:
         bits *= 2
-    spots = terms.select(_spot(F.col("term"), bits).alias("spot"))
+    spots = terms.select(_spot(bits, *terms.columns).alias("spot"))
     held = spots.selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, int(spot & 63)) AS held")
     empty = terms.sparkSession.range(bits // 64).selectExpr("id AS word", "0L AS held")
     words_of_table = held.union(empty).groupBy("word").agg(F.bit_or("held").alias("held"))
@@ -98,12 +98,123 @@ def _bit_table(terms: DataFrame) -> tuple[int, DataFrame]:
     return bits, cut_lineage(words_of_table.agg(listed["held"].alias("held")))
 
 
-def _has_bit(table: DataFrame, term: Column, bits: int) -> Column:
-    spot = _spot(term, bits)
+def _has_bit(table: DataFrame, bits: int, *columns) -> Column:
+    spot = _spot(bits, *columns)
     word = F.get(table.select("held").scalar(), F.shiftright(spot, 6).cast("int"))
     return F.call_function("shiftright", word, spot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
+def _followed(tokens: DataFrame, longest: int) -> DataFrame:
+    """(topic, w0, w1, ...): every word with the words behind it, null behind the end of a text; single last words are left out."""
+    behind = [F.slice("tokens", i + 1, F.size("tokens")).alias(f"w{i}") for i in range(longest)]
+    return tokens.select("topic", F.inline(F.arrays_zip(*behind))).filter(F.col("w1").isNotNull())
+
+
+def _run(n: int) -> Column:
+    return F.concat_ws(" ", *[f"w{i}" for i in range(n)])
+
+
+def _uses(tokens: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
+    """The counts, as ``_per_topic`` gives them, of all runs of two or more words in ``terms`` (term), and of a few more.
+
+    Places whose first two words begin none of the runs are left before runs are formed.
+    """
+    first = F.split("term", " ")
+    bits, begun = _bit_table(terms.select(first[0].alias("w0"), first[1].alias("w1")).distinct())
+    known, table = _bit_table(terms.select("term").distinct())
+    places = _followed(tokens, longest).filter(_has_bit(begun, bits, "w0", "w1"))
+    runs = [F.when(F.col(f"w{n - 1}").isNotNull(), _run(n)) for n in range(2, longest + 1)]
+    found = places.select("topic", F.explode(F.array(*runs)).alias("term"))
+    # a bit that several terms share is set or not for all uses of a term, so counts are exact
+    return _per_topic(found.filter(F.col("term").isNotNull() & _has_bit(table, known, "term")), 1)
+
+
+def _frequent_runs(tokens: DataFrame, words: DataFrame, least: DataFrame, longest: int) -> DataFrame:
+    """(term): runs of two or more words used in some topic as often as ``least`` (topic, least) asks there.
+
+    ``words``: topic, term, n. A run is used no more often than the two runs of one word less in it.
+    """
+    found, levels = words, []
+    for n in range(2, longest + 1):
+        parts = F.split("term", " ")
+        known = found.join(least, "topic").filter(F.col("n") >= F.col("least"))
+        bits, table = _bit_table(known.select("topic", *[parts[i].alias(f"w{i}") for i in range(n - 1)]))
+        places = _followed(tokens, n).filter(F.col(f"w{n - 1}").isNotNull())
+        for start in (0, 1):
+            places = places.filter(_has_bit(table, bits, "topic", *[f"w{i}" for i in range(start, start + n - 1)]))
+        counts = places.select("topic", _run(n).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("n"))
+        found = cut_lineage(counts.join(least, "topic").filter(F.col("n") >= F.col("least")).drop("least"))
+        levels.append(found.select("term"))
+    return cut_lineage(reduce(DataFrame.unionByName, levels).distinct())
+
+
+def _least_uses(weighted: DataFrame, k: int) -> DataFrame:
+    """(topic, least): a term used less often in a topic is not among its k heaviest.
+
+    ``weighted``: words with weight, topic_words and mean_words. The k-th
+    weight W of the words is a floor. A term used n times in the topic is used
+    as often or more in all, so it weighs sqrt(n / topic_words) *
+    ln((A + 1) / (n + .5)) at most, and the logarithm falls with n: each turn
+    puts the bound found so far into it and gets the next one. Topics with
+    fewer than k words, or W not above 0, have no bound.
+    """
+    kth = F.when(F.count("*") >= k, F.get(F.sort_array(F.collect_list("weight"), asc=False), F.lit(k - 1)))
+    kept = top_k_per_group(weighted.select("topic", "topic_words", "mean_words", "weight"), "topic", [F.col("weight").desc()], k)
+    floors = kept.groupBy("topic", "topic_words", "mean_words").agg(kth.alias("floor"))
+    # weights are compared after rounding to 12 places
+    floors = floors.select("topic", "topic_words", "mean_words", (F.col("floor") * (1 - 1e-9) - 1e-11).alias("floor"), F.lit(1.0).alias("least"))
+    for _ in range(8):
+        log = F.log((F.col("mean_words") + 1) / (F.col("least") + 0.5))
+        needed = F.ceil(F.col("topic_words") * F.try_divide("floor", log) ** 2 - 1e-6).cast("double")
+        bound = F.when(F.col("floor") > 0, F.when(log > 0, F.greatest("least", needed)).otherwise(F.lit(float("inf"))))
+        floors = floors.withColumn("least", F.coalesce(bound, F.lit(1.0)))
+    return floors.select("topic", "least")
+
+
+def heaviest_terms(
+    df: DataFrame, topic: str, text: str, k: int, stop=(), longest: int = 3, max_share: float = 1.0
+) -> DataFrame:
+    """``top_words`` of the ``topic_word_weights`` of ``term_counts`` without a lower limit of topics, the same rows.
+
+    Not every run is counted for that. Words are; a run in more than
+    ``max_share`` of the topics is in one of the smallest topics, so only the
+    runs there are looked for elsewhere; and a run can be among the heaviest of
+    a topic only if it is used there as often as the words' weights ask.
+    """
+    rows = spread(df.select(topic, text))
+    tokens = cut_lineage(rows.select(F.col(topic).alias("topic"), without(words(F.col(text)), stop).alias("tokens")))
+    counts = cut_lineage(_per_topic(tokens.select("topic", F.explode("tokens").alias("term")), 1))
+    in_text = sum(F.greatest(F.size("tokens") - n, F.lit(0)).cast("long") for n in range(longest))
+    sizes = cut_lineage(tokens.groupBy("topic").agg(F.sum(in_text).alias("runs")))
+
+    def usual(table: DataFrame) -> DataFrame:
+        return table if most is None else table.filter(F.col("n_topics") <= most)
+
+    most = None
+    if max_share < 1.0:
+        held = sizes.agg(F.count("*").alias("all"), F.count("topic").alias("named")).first()
+        most = max_share * held["named"]
+        dropped = counts.filter(F.col("n_topics") > most).select("topic", "n")
+        # a term in more topics than that misses fewer topics than these
+        smallest = sizes.orderBy("runs", "topic").limit(max(0, held["all"] - int(most))).select(F.col("topic").alias("__t"))
+        inside = tokens.join(smallest, F.col("topic").eqNullSafe(F.col("__t")), "left_semi")
+        if longest > 1:
+            runs = [F.when(F.col(f"w{n - 1}").isNotNull(), _run(n)) for n in range(2, longest + 1)]
+            there = _followed(inside, longest).select(F.explode(F.array(*runs)).alias("term")).filter("term IS NOT NULL")
+            everywhere = _uses(tokens, cut_lineage(there.distinct()), longest).filter(F.col("n_topics") > most)
+            dropped = dropped.unionByName(everywhere.select("topic", "n"))
+        gone = dropped.groupBy(F.col("topic").alias("__t")).agg(F.sum("n").alias("gone"))
+        sizes = sizes.join(gone, F.col("topic").eqNullSafe(F.col("__t")), "left").select(
+            "topic", (F.col("runs") - F.coalesce("gone", F.lit(0))).alias("runs")
+        )
+    sizes = cut_lineage(_with_mean(sizes.filter("runs > 0").select("topic", F.col("runs").alias("topic_words"))))
+    weighted = _weighted(usual(counts), sizes)
+    if longest > 1:
+        found = _frequent_runs(tokens, counts.select("topic", "term", "n"), cut_lineage(_least_uses(weighted, k)), longest)
+        weighted = weighted.unionByName(_weighted(usual(_uses(tokens, found, longest)), sizes))
+    return top_words(weighted, k)
+
+
 def topic_word_weights(counts: DataFrame) -> DataFrame:
     """Class-based TF-IDF: sqrt(share of the topic's words) * ln(1 + (A - f + .5) / (f + .5)).
 
@@ -112,12 +223,19 @@ def topic_word_weights(counts: DataFrame) -> DataFrame:
     """
     counts = cut_lineage(counts)
     sizes = counts.groupBy("topic").agg(F.sum("n").alias("topic_words"))
+    return _weighted(counts, _with_mean(sizes)).drop("mean_words")
+
+
+def _with_mean(sizes: DataFrame) -> DataFrame:
     # one row per topic
     mean = F.floor(F.avg("topic_words").over(W.partitionBy())).cast("double")
-    sizes = sizes.withColumn("mean_words", mean)
+    return sizes.withColumn("mean_words", mean)
+
+
+def _weighted(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("mean_words") - F.col("n_all") + 0.5) / (F.col("n_all") + 0.5))
     weight = F.sqrt(F.col("n") / F.col("topic_words")) * idf
-    return counts.join(sizes, "topic").withColumn("weight", weight).drop("mean_words")
+    return counts.join(sizes, "topic").withColumn("weight", weight)
 
 
 def top_words(weights: DataFrame, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark.operators.rules import substring_label
 from tidemark.operators.topics import (
     apply_merge,
     apply_split,
+    heaviest_terms,
     merge_map,
     oversized_topics,
     stop_words,
@@ -91,18 +92,22 @@ def label_topics(df: DataFrame, text: str, topic: str = "cc_topic", groups=(), s
     topics again; their parts have a fixed keyword. ``vectors`` (word, vector)
     adds ``cc_heterogeneity``, which is null for noise and for parts.
     """
-    counts = term_counts(df, topic, text, stop if stop is not None else domain_stop_words(),
-                         min_topics=min_topics, max_share=max_share)
-    top = cut_lineage(top_words(topic_word_weights(counts), 10))
+    stop = stop if stop is not None else domain_stop_words()
+    if min_topics > 1:
+        counts = term_counts(df, topic, text, stop, min_topics=min_topics, max_share=max_share)
+        top = cut_lineage(top_words(topic_word_weights(counts), 10))
+    else:
+        top = cut_lineage(heaviest_terms(df, topic, text, 10, stop, max_share=max_share))
     sizes = df.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"))
-    mapping = merge_map(topic_word_sets(top, topics=sizes), sizes, transitive=transitive)
+    # tables of one row per topic are stored: a known small size lets rows stay where they are, not all of a topic in one task
+    mapping = cut_lineage(merge_map(topic_word_sets(top, topics=sizes), sizes, transitive=transitive))
     merged = apply_merge(df, mapping, topic)
     if split is not None:
         merged = split_largest(cut_lineage(merged), text, key, topic, above=df.agg(F.max(topic).alias("m")).scalar(), **split)
     if vectors is not None:
         scores = word_heterogeneity(top, vectors).select(F.col("topic").alias(topic), F.col("heterogeneity").alias("cc_heterogeneity"))
         merged = merged.join(scores, topic, "left")
-    return with_keywords(merged, topic_keywords(top, topics=sizes), topic, groups), top
+    return with_keywords(merged, cut_lineage(topic_keywords(top, topics=sizes)), topic, groups), top
 
 
 def with_keywords(df: DataFrame, keywords: DataFrame, topic: str = "cc_topic", groups=()) -> DataFrame:
